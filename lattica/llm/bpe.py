@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries of the memo of steps, of pair checks, and of the memo of whole words.
-STEPS, PAIRS, WORDS, LONGEST_MEMO = 400_000, 200_000, 120_000, 40
+STEPS, JUMPS, PAIRS, WORDS, LONGEST_MEMO = 400_000, 500_000, 200_000, 200_000, 40
 #: A text beyond this many characters is encoded in pieces cut before white space.
 PIECE = 1 << 20
 
@@ -128,26 +128,46 @@ class Encoder:
         self.states: list[tuple] = [((0, (-1,)),)]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.jumps: dict[tuple[int, bytes], tuple[int, tuple[int, ...]]] = {}
+
+    def _jump(self, state: int, data: bytes) -> tuple[int, tuple[int, ...]]:
+        """The steps over some bytes as one, also put into its memo."""
+        key, emitted, get = (state, data), (), self.steps.get
+        for x in data:
+            state, new = get(state << 9 | x) or self.step(state, x)
+            emitted += new
+        found = self.jumps[key] = (state, emitted)
+        return found
 
     def step(self, state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
         """The next state's number and the tokens that became stable, also put into the memo."""
-        merges, ends, here = self.merges, [], None
+        merges, nodes, ends, here = self.merges, self.nodes, [], None
         for number, chain in self.states[state]:
-            node = self.nodes[number].next.get(symbol)
+            node = nodes[number].next.get(symbol)
             if node is None:
                 continue
-            if node.token >= 0 and here is None and (chain[-1] < 0 or merges.pair(chain[-1], node.token)):
-                here = chain + (node.token,)
+            token = node.token
+            if token >= 0 and here is None:
+                last = chain[-1]
+                if last < 0 or merges.pair(last, token):
+                    here = chain + (token,)
             if node.next:
-                self.nodes[node.number] = node
-                ends.append((node.number, chain))
+                number = node.number
+                nodes[number] = node
+                ends.append((number, chain))
         if here is None:
             raise ValueError("a symbol has no token")
+        shared = shortest = len(here)
+        for _, c in ends:
+            n = 1
+            while n < len(c) and n < shared and c[n] == here[n]:
+                n += 1
+            shared, shortest = min(shared, n), min(shortest, len(c))
         ends.append((0, here))
-        shared, shortest = 1, min(len(c) for _, c in ends)
-        while shared < shortest and all(c[shared] == here[shared] for _, c in ends):
-            shared += 1
-        then = tuple((n, c[shared - 1 :]) for n, c in ends)
+        if shared == shortest:
+            then = tuple([(n, c[shared - 1 :]) for n, c in ends])
+        else:  # no open end follows the last stable token, so it does not matter which it was
+            then = tuple([(n, (-1, *c[shared:])) for n, c in ends])
         number = self.numbers.get(then)
         if number is None:
             number = self.numbers[then] = len(self.states)
@@ -175,15 +195,15 @@ class Encoder:
             return list(self.stream(data))
         if len(data) > LONGEST_MEMO:
             return list(self.stream((*data[:-1], data[-1] + 256)))
-        if len(self.steps) >= STEPS:
+        if len(self.steps) >= STEPS or len(self.jumps) >= JUMPS:
             self._anew()
-        state, out, get = 0, [], self.steps.get
-        for x in data[:-1]:
-            found = get(state << 9 | x) or self.step(state, x)
-            state = found[0]
-            if found[1]:
-                out += found[1]
-        state, emitted = get(state << 9 | data[-1] | 256) or self.step(state, data[-1] | 256)
+        state, out, get, last = 0, [], self.jumps.get, len(data) - 1
+        for at in range(0, last, 4):
+            piece = data[at : at + 4] if at + 4 < last else data[at:last]
+            state, emitted = get((state, piece)) or self._jump(state, piece)
+            if emitted:
+                out += emitted
+        state, emitted = self.steps.get(state << 9 | data[last] | 256) or self.step(state, data[last] | 256)
         out += emitted
         out += self.states[state][-1][1][1:]
         return out
@@ -233,6 +253,9 @@ class Tokenizer:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(ids, key=len, reverse=True)))) if ids else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.encoder, self.decoder = Encoder(self.merges), Decoder(self.merges, self.special)
+        top = max(*self.merges.strings, *self.special) + 1
+        self.id_text = [str(i) for i in range(top)]
+        self.library_text = [self.special.get(i) or self.merges.strings.get(i, "") for i in range(top)]
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
@@ -266,8 +289,11 @@ class Tokenizer:
         found = self.older.get(word)
         if found is None:
             ids = self.encoder.word(word.encode("utf-8", "surrogatepass"))
-            library = self.decoder.library
-            found = (len(ids), " ".join([str(i) for i in ids]), " ".join([library(i) for i in ids]))
+            id_text, library = self.id_text, self.library_text
+            if len(ids) == 1:
+                found = (1, id_text[ids[0]], library[ids[0]])
+            else:
+                found = (len(ids), " ".join([id_text[i] for i in ids]), " ".join([library[i] for i in ids]))
         if len(word) <= LONGEST_MEMO:
             if len(self.words) >= WORDS:  # two generations: words in use stay
                 self.older, self.words = self.words, {}
