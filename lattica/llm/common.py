@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch given to Python. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
@@ -49,5 +51,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(schema: str) -> list[str]:
-    return [part.strip().split()[0] for part in schema.split(",")]
+SIEVE_BITS = 20
+
+
+def sieve(members: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A filter that every value of members' column passes, and few others while these are few
+    against 2**SIEVE_BITS. It is a bit set of fixed size (at most 128 KB reach the tasks), so it only thins what a join would shuffle; the join stays exact whatever passes."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    at_byte = members.select(place(F.col(column)).alias("at")).select(F.expr("at div 8").alias("byte"), F.expr("shiftleft(1, cast(at % 8 as int))").alias("bit"))
+    table = bytearray(1 << (SIEVE_BITS - 3))
+    for r in at_byte.groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect():
+        table[r.byte] = r.bits
+
+    def passes(c: Column) -> Column:
+        at = place(c)
+        byte = F.substring(F.lit(table), (F.floor(at / 8) + 1).cast("int"), 1)
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+
+    return passes

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sieve, written
 from .components import components
 
 COORDINATES, MATCHES, BLOCK, WORD_MEMO = 32, 17, 4000, 300_000
@@ -248,14 +248,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = written(sigs.select("digest", "doc_id", "sig").join(classes, "digest").where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id"]), "representatives")
 
     posted = reps.select("doc_id", F.posexplode("sig").alias("c", "v")).select("doc_id", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("post"))
-    counts = posted.groupBy("post").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = posted.join(counts, "post").groupBy("doc_id").agg(F.collect_list(F.struct("n", "post")).alias("posts")).where(F.size("posts") >= MATCHES)
+    counts = written(posted.groupBy("post").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-posts")
+    shared = posted.where(sieve(counts, "post")(F.col("post"))).join(counts.hint("merge"), "post").groupBy("doc_id").agg(F.collect_list(F.struct("n", "post")).alias("posts")).where(F.size("posts") >= MATCHES)
     prefix = shared.select("doc_id", F.explode(F.slice(F.sort_array("posts"), 1, F.size("posts") - (MATCHES - 1))).alias("p")).select("doc_id", "p.post", "p.n")
-    lists = _blocked(prefix.join(reps, "doc_id"), "post", "n", "sig")
+    prefix = written(prefix, "prefixes")
+    members = reps.where(sieve(prefix, "doc_id")(F.col("doc_id")))
+    lists = _blocked(prefix.hint("merge").join(members, "doc_id"), "post", "n", "sig")
     clusters = written(components(lists.mapInArrow(_list_links, "a long, b long"), "candidates"), "clusters")
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").withColumnRenamed("id", "doc_id")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(sieve(clusters, "id")(F.col("doc_id"))).join(sized.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     confirmed = _blocked(texts, "component", "n", "text").mapInArrow(_cluster_links(width, num, den), "a long, b long")
     linked = components(confirmed, "links")
 
