@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
+from .common import written
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -37,7 +38,8 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def histogram(counted: DataFrame) -> DataFrame:
     """counted: n_tokens of each document. One row for each length, with suffix sums."""
-    rows = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
+    summed = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
+    rows = written(summed, "lengths")  # read twice below
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     all_blocks = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
