@@ -189,10 +189,10 @@ def pregel(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Col
         active = state.where("changed")
         if active.isEmpty():
             break
-        sent = active.join(e, active.id == e.src).select(F.col("dst").alias("to"), message(F.col("value"), F.col("src"), F.col("dst")).alias("m"))
+        sent = active.join(e, active["id"] == e.src).select(F.col("dst").alias("to"), message(F.col("value"), F.col("src"), F.col("dst")).alias("m"))
         got = sent.where("m is not null").groupBy("to").agg(merge("m").alias("m"))
         new = F.when(F.col("m").isNotNull(), update(F.col("value"), F.col("m"))).otherwise(F.col("value"))
-        state = store.written(state.join(got, state.id == got.to, "left").select("id", new.alias("new"), "value").select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("changed")))
+        state = store.written(state.join(got, state["id"] == got["to"], "left").select("id", new.alias("new"), "value").select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("changed")))
     return state.select("id", "value")
 
 

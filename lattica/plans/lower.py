@@ -43,7 +43,7 @@ def column(term) -> Column:
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
-    return {"=": lambda: a == b, "~=": lambda: a != b, ">": lambda: a > b, "<": lambda: a < b, ">=": lambda: a >= b, "<=": lambda: a <= b, "*=": lambda: a.like(b), "~*=": lambda: ~a.like(b)}[op]()
+    return {"=": lambda: a == b, "~=": lambda: a != b, ">": lambda: a > b, "<": lambda: a < b, ">=": lambda: a >= b, "<=": lambda: a <= b, "*=": lambda: F.like(a, b), "~*=": lambda: ~F.like(a, b)}[op]()
 
 
 def matched(df: DataFrame, terms: tuple, columns: list[str]) -> DataFrame:

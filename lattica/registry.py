@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lattica.queries import formats, recursive, relational, scalars, streams
+
+MODULES = (recursive, relational, scalars, streams, formats)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}

@@ -64,5 +64,5 @@ def run_to_end(stream: DataFrame, label: str, mode: str = "complete") -> DataFra
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.schema(stream.schema.add("batch__", "int")).parquet(f"{base}/out")
+    found = spark.read.schema(stream.schema.add("batch__", "integer")).parquet(f"{base}/out")
     return found.drop("batch__") if mode == "complete" else found
