@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.operators.fixpoint import MAX_ITERATIONS, Clique, Predicate, Rule
+from lattica.store import Store
 
-from .ast import Aggregate, Atom, Const, IfThenElse, Limit, Op, Program, RuleText, Sort, Var, variables
+from .ast import Aggregate, Atom, Compare, Const, IfThenElse, Limit, Op, Program, RuleText, Sort, Var, variables
 from .datalog import Parser, ProgramError
 from .graph import components
-from .lower import Bindings, chosen, column, is_builtin
+from .lower import Bindings, chosen, column, is_builtin, matched
 
 #: Declared types, and aggregates by what they do inside a recursion.
 TYPES = {"integer": "int", "int": "int", "long": "bigint", "float": "float", "double": "double", "string": "string", "byte": "tinyint", "short": "smallint", "datetime": "timestamp"}
@@ -113,15 +114,14 @@ class LogicEngine:
         atom = Parser(text.rstrip(". ")).atom() if isinstance(text, str) else text
         args = tuple(Const(parameters[a.name]) if isinstance(a, Var) and a.name in parameters else a for a in atom.args)
         seed = {i: a.value for i, a in enumerate(args) if isinstance(a, Const)}
-        if seed and atom.name not in self._solved and (preserved := self._preserved(atom.name, seed)):
+        derived = any(r.head.name == atom.name for r in self.program.rules)
+        if seed and derived and atom.name not in self._solved and (preserved := self._preserved(atom.name, seed)):
             other = LogicEngine(self.spark, None, self.limit, self.hint, self.stop_at_limit)
             other.base, other.program, other.aggregates = self.base, self.program, self.aggregates
             other._solve({atom.name}, {atom.name: preserved})
             df, self.iterations = other._solved[atom.name], other.iterations
         else:
             df = self.relation(atom.name)
-        from .lower import matched
-
         found = matched(df, args, df.columns)
         names = [a.name for a in args if isinstance(a, Var) and not a.anonymous]
         return found.select(*dict.fromkeys(names)).distinct() if names else found.distinct()
@@ -345,8 +345,6 @@ class LogicEngine:
     def _stages(self, part: list[str], rules: list[RuleText]) -> None:
         """Stage by stage: a rule with head stage J + 1 reads stage J (and J + 1 where it says so), one
         with head stage J reads J. Ends when no predicate that feeds itself has rows, or nothing changes."""
-        from lattica.store import Store
-
         store = Store(self.spark, "stages")
         names = {n: self._names(n) for n in part}
         start = [r for r in rules if not any(a.name in part for a, _ in atoms_of(r.body))]
@@ -393,11 +391,9 @@ class LogicEngine:
                     body = tuple(x for x in self._at_stage(r.body, part, own))
                     stage_name = r.head.args[0].args[0] if later else r.head.args[0]
                     fixed = RuleText(Atom(name, (Const(stage), *r.head.args[1:])), (*body, *self._bind_stage(stage_name, stage - 1 if later else stage)))
-                    outs.append(self._plain(name, [fixed], self._lookup({f"{k}@{w}": v for k, v in own.items() for w in ("",)})))
+                    outs.append(self._plain(name, [fixed], self._lookup({f"{k}@": v for k, v in own.items()})))
                 if outs:
                     df = reduce(DataFrame.unionByName, [o.toDF(*names[name]) for o in outs]).distinct()
-                    args = next(r for r in rules if r.head.name == name).head.args
-                    del args
                     now[name] = store.written(df)
                     types.setdefault(name, now[name].schema)
             rows = {n: df.count() for n, df in now.items()}
@@ -432,6 +428,4 @@ class LogicEngine:
 
     @staticmethod
     def _bind_stage(name, value: int) -> tuple:
-        from .ast import Compare
-
         return (Compare("=", name, Const(value)),) if isinstance(name, Var) else ()

@@ -157,7 +157,9 @@ class Bindings:
 
     def _builtin_ready(self, a: Atom) -> bool:
         unbound = [i for i, t in enumerate(a.args) if not variables(t) <= self.bound]
-        free = {"append": (2,), "member": (0,), "subset": (), "cardinality": (1,), "nth_member": (2,), "sort": (1,), "functor": (0, 1, 2), "getdate": (0,), "datepart": (2,), "dateadd": (3,), "datediff": (3,), "substring": (3,)}[a.name]
+        if a.name == "functor":
+            return 0 not in unbound or unbound == [0]
+        free = {"append": (2,), "member": (0,), "subset": (), "cardinality": (1,), "nth_member": (2,), "sort": (1,), "getdate": (0,), "datepart": (2,), "dateadd": (3,), "datediff": (3,), "substring": (3,)}[a.name]
         return all(i in free for i in unbound)
 
     def add(self, body: tuple) -> Bindings:
