@@ -23,12 +23,17 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
 def window_counts(events: DataFrame, duration: str, slide: str | None = None, watermark: str | None = None) -> DataFrame:
     """(window_start, window_end, event_type, n, total) by tumbling or sliding windows."""
     if watermark:
-        events = events.withWatermark("ts", watermark)
+        events = _marked(events, watermark)
     window = F.window("ts", duration, slide) if slide else F.window("ts", duration)
     grouped = events.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n", "total")
 
 
+def _marked(events: DataFrame, watermark: str) -> DataFrame:
+    """With a watermark on ts, which needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
 def session_counts(events: DataFrame, gap: str) -> DataFrame:
     """(user_id, session_start, session_end, n) by sessions that end after a gap."""
     grouped = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -37,7 +42,7 @@ def session_counts(events: DataFrame, gap: str) -> DataFrame:
 
 def distinct_events(events: DataFrame, watermark: str | None = None) -> DataFrame:
     """Each event_id once; with a watermark the state stays bounded."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"]) if watermark else events.dropDuplicates(["event_id"])
+    return _marked(events, watermark).dropDuplicatesWithinWatermark(["event_id"]) if watermark else events.dropDuplicates(["event_id"])
 
 
 def running_totals(events: DataFrame) -> DataFrame:
