@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as runs of non-space characters in UTF-8, each cut after MAX_RUN bytes; the
-network starts anew at each run, gives every byte a distribution over the languages from a
-forward and a backward gated recurrent layer, and a document's distribution is the mean over
-all its bytes. As a run's outcome depends on the run alone, workers keep the outcomes of runs
+A text is read in lower case as runs of non-space characters in UTF-8, each cut after MAX_RUN
+bytes; the network starts anew at each run, gives every byte a distribution over the languages
+from a forward and a backward gated recurrent layer, and a document's distribution is the mean
+over its bytes. Runs with a digit or an @ (numbers, keys, addresses) are labelled too, but
+count in the mean only where the text has no other run with a letter. As a run's outcome depends on the run alone, workers keep the outcomes of runs
 they met (in a bounded memo that changes no result).
 
 It is trained on the driver by backpropagation through time in numpy, on a bounded sample:
@@ -23,10 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim_memo
+
 FOLDS = 5
 MAX_LANGS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RUNS = 64, 128, 4000, 12_000
 MAX_RUN, HIDDEN, MEMO = 24, 16, 200_000
 LETTER = regex.compile(r"\p{L}")
+NO_PROSE = regex.compile(r"[\p{N}@]")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -35,7 +39,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def runs_of(text: str) -> list[str]:
-    return text.split()
+    return text.lower().split()
+
+
+def voting(runs: list[str]) -> list[str]:
+    """The runs that count for a document."""
+    if not NO_PROSE.search(" ".join(runs)):
+        return runs
+    prose = [r for r in runs if not NO_PROSE.search(r)]
+    return prose if LETTER.search(" ".join(prose)) else runs
 
 
 def byte_matrix(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +197,7 @@ class Identifier:
         """The mean distribution over each text's bytes; None without a letter."""
         if len(self.rows) > MEMO:
             self.rows, self.at, self.sums = {}, 0, self.sums[:1024]
-        split = [runs_of(t) if t and LETTER.search(t) else None for t in texts]
+        split = [voting(runs_of(t)) if t and LETTER.search(t) else None for t in texts]
         rows = self.rows
         missing = {r for runs in split if runs for r in runs if r not in rows}
         if missing:
@@ -200,7 +212,7 @@ class Identifier:
         return out
 
     def positions(self, text: str) -> list[str]:
-        """The label of every non-space byte of text."""
+        """The label of every non-space byte of the lower-cased text."""
         out = []
         for run in runs_of(text):
             for piece in cut_run(run):
@@ -214,6 +226,7 @@ _IDENTIFIERS: dict[bytes, Identifier] = {}
 
 def identifier(net: ByteGru) -> Identifier:
     """The worker's own memo for this network."""
+    claim_memo("language", _IDENTIFIERS.clear)
     key = net.w["out"].tobytes()
     if key not in _IDENTIFIERS:
         _IDENTIFIERS.clear()
@@ -239,7 +252,7 @@ def train(docs: DataFrame) -> ByteGru | None:
     """A network for the languages of docs; None if there is nothing to learn from."""
     rng, by_lang = np.random.default_rng(3), {}
     for lang, text in sample(docs):
-        by_lang.setdefault(lang, []).extend(runs_of(text))
+        by_lang.setdefault(lang, []).extend(voting(runs_of(text)))
     by_lang = {k: v for k, v in by_lang.items() if v}
     if not by_lang:
         return None

@@ -48,6 +48,8 @@ def test_pooling_is_the_mean_over_bytes():
     sums = net.run_sums([c for r in text.split() for c in language.cut_run(r)]).sum(axis=0)
     assert np.allclose(p[0], sums[:-1] / sums[-1], atol=1e-5)
     assert len(own.positions(text)) == len("".join(text.split()).encode())
+    assert np.allclose(own.distributions(["Hello a1b2 me@x.org"])[0], own.distributions(["hello"])[0])
+    assert own.distributions(["a1b2"])[0] is not None
     again = language.Identifier(net)
     assert np.allclose(again.distributions(["x" * 60, text])[1], p[0], atol=1e-5)
 
