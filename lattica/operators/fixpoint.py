@@ -7,8 +7,9 @@ belongs to (key, rule, occurrence); a later one from the same occurrence replace
 Each round evaluates every rule once for each recursive reference, with the last round's changes
 in its place and the full relations elsewhere, and keeps what is new. Changes are written to the
 shared folder, so that a round's plan starts from files. A full relation is the log of
-its changes; a log of `COMPACT` parts is merged into one. Where the derived rows are few, by
-their count, the known rows are reduced by broadcasting them, and the full relation is not shuffled.
+its changes; a log of `COMPACT` parts is merged into one. A full relation of at most SMALL_ROWS
+rows, by count, is broadcast to the derived rows. A larger one is first reduced to the rows that meet the
+derived ones: by broadcasting these where they are few, by count, so that it is not shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from lattica.store import Store
 
 MODES = ("set", "min", "max", "sum")
-COMPACT, FEW_ROWS, MAX_ITERATIONS = 6, 50_000, 1000
+COMPACT, FEW_ROWS, SMALL_ROWS, MAX_ITERATIONS = 6, 50_000, 200_000, 1000
 
 
 class NoFixpoint(RuntimeError):
@@ -64,6 +65,7 @@ class _State:
     schema: T.StructType | None = None
     log: list[str] = field(default_factory=list)
     delta: str | None = None
+    rows: int = 0
     parts_schema: T.StructType | None = None
     parts: list[str] = field(default_factory=list)
 
@@ -181,11 +183,12 @@ class Clique:
     def _put(self, s: _State, new: DataFrame) -> bool:
         """Write changes; true if there are any."""
         path = self.store.put(new.select(*s.schema.names))
-        some = not self.store.get(s.schema, path).isEmpty()
-        s.delta = path if some else None
-        if some:
+        n = self.store.get(s.schema, path).count()
+        s.delta = path if n else None
+        if n:
             s.log.append(path)
-        return some
+            s.rows += n
+        return bool(n)
 
     def _compact(self, s: _State) -> None:
         if len(s.log) > COMPACT:
@@ -207,6 +210,9 @@ class Clique:
         derived = derived.distinct()
         if not self.iterations:
             return derived
+        if s.rows <= SMALL_ROWS:
+            known = F.broadcast(self._full(s))
+            return derived.join(known, _same(derived, known, s.predicate.columns), "left_anti")
         derived = self.store.written(derived)
         known = self._known(self._full(s), derived, s.predicate.columns, derived.count())
         return derived.join(known, _same(derived, known, s.predicate.columns), "left_anti")
@@ -216,8 +222,11 @@ class Clique:
         best = self._best(derived.where(F.col(v).isNotNull()), p)
         if not self.iterations:
             return best
-        best = self.store.written(best)
-        known = self._known(self._full(s), best, p.keys, best.count()).select(*p.keys, F.col(v).alias("known__"))
+        if s.rows <= SMALL_ROWS:
+            known = F.broadcast(self._full(s).select(*p.keys, F.col(v).alias("known__")))
+        else:
+            best = self.store.written(best)
+            known = self._known(self._full(s), best, p.keys, best.count()).select(*p.keys, F.col(v).alias("known__"))
         joined = best.join(known, _same(best, known, p.keys), "left").select(*(best[c] for c in p.columns), known["known__"])
         better = F.col(v) < F.col("known__") if p.mode == "min" else F.col(v) > F.col("known__")
         return joined.where(F.col("known__").isNull() | better).select(*p.columns)
@@ -243,8 +252,11 @@ class Clique:
         now = mine.groupBy(*p.keys).agg(F.sum(v).alias(v)).select(*p.columns, F.lit(self.iterations).alias("round__"))
         if not self.iterations:
             return now
-        now = self.store.written(now)
-        known = self._known(self._full(s), now, p.keys, now.count()).select(*p.keys, F.col(v).alias("known__"))
+        if s.rows <= SMALL_ROWS:
+            known = F.broadcast(self._full(s).select(*p.keys, F.col(v).alias("known__")))
+        else:
+            now = self.store.written(now)
+            known = self._known(self._full(s), now, p.keys, now.count()).select(*p.keys, F.col(v).alias("known__"))
         joined = now.join(known, _same(now, known, p.keys), "left").select(*(now[c] for c in now.columns), known["known__"])
         return joined.where(~F.col("known__").eqNullSafe(F.col(v))).select(*now.columns)
 
@@ -267,9 +279,11 @@ class Clique:
             paths = {name: self.store.put(m.select(*self.states[name].schema.names)) for name, m in merged.items()}
             for name, s in self.states.items():
                 s.delta = None
-                if name in paths and not self.store.get(s.schema, paths[name]).isEmpty():
+                n = self.store.get(s.schema, paths[name]).count() if name in paths else 0
+                if n:
                     s.delta = paths[name]
                     s.log.append(paths[name])
+                    s.rows += n
                 self._compact(s)
         return {name: self._full(s).select(*s.predicate.columns) for name, s in self.states.items()}
 

@@ -37,9 +37,11 @@ def test_closures(edges):
     assert table(graph.transitive_closure(edges)) == want == table(graph.transitive_closure_doubling(edges))
 
 
-def test_compaction_and_wide_paths_agree(spark, edges, monkeypatch):
+@pytest.mark.parametrize("few", [True, False])
+def test_compaction_and_wide_paths_agree(spark, edges, monkeypatch, few):
     monkeypatch.setattr(fixpoint, "COMPACT", 1)
-    monkeypatch.setattr(fixpoint, "FEW_ROWS", 0)
+    monkeypatch.setattr(fixpoint, "SMALL_ROWS", 0)
+    monkeypatch.setattr(fixpoint, "FEW_ROWS", 0 if few else 50_000)
     assert table(graph.transitive_closure(edges)) == sorted(reach(EDGES), key=str)
     w = spark.createDataFrame([(a, b, (a * b) % 5 + 1) for a, b in EDGES], "a long, b long, w long")
     best = {}
