@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAST, BITS, MOST, MIN_WORDS = 24, 5, 192, 28
+LEAST, BITS, MOST, MIN_WORDS = 24, 5, 192, 22
 WINDOW = 32
 
 
