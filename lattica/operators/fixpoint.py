@@ -66,6 +66,7 @@ class _State:
     log: list[str] = field(default_factory=list)
     delta: str | None = None
     rows: int = 0
+    dropped: list[str] = field(default_factory=list)
     parts_schema: T.StructType | None = None
     parts: list[str] = field(default_factory=list)
 
@@ -191,13 +192,20 @@ class Clique:
         return bool(n)
 
     def _compact(self, s: _State) -> None:
+        """Merge long logs; what they replace is removed, but for the changes that the next round reads."""
+        self.store.drop(*(p for p in s.dropped if p != s.delta))
+        s.dropped = []
         if len(s.log) > COMPACT:
             full = self._full(s)
             if s.predicate.mode == "sum":
                 full = full.withColumn("round__", F.lit(self.iterations))
-            s.log = [self.store.put(full.select(*s.schema.names))]
+            merged = self.store.put(full.select(*s.schema.names))
+            self.store.drop(*(p for p in s.log if p != s.delta))
+            s.dropped = [s.delta] if s.delta else []
+            s.log = [merged]
         if len(s.parts) > COMPACT:
-            s.parts = [self.store.put(self._parts(s))]
+            old, s.parts = s.parts, [self.store.put(self._parts(s))]
+            self.store.drop(*old)
 
     def _known(self, full: DataFrame, derived: DataFrame, keys: list[str], rows: int) -> DataFrame:
         """The rows of full with a key of derived."""
@@ -285,6 +293,7 @@ class Clique:
                     s.log.append(paths[name])
                     s.rows += n
                 self._compact(s)
+            self.store.sweep()
         return {name: self._full(s).select(*s.predicate.columns) for name, s in self.states.items()}
 
 

@@ -23,6 +23,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, label: str = "fixpoint"):
         self.spark, self.folder, self.number = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.passing: list[str] = []
 
     def put(self, df: DataFrame) -> str:
         path = f"{self.folder}/{self.number}"
@@ -34,7 +35,14 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def written(self, df: DataFrame) -> DataFrame:
-        return self.get(df.schema, self.put(df))
+        path = self.put(df)
+        self.passing.append(path)
+        return self.get(df.schema, path)
+
+    def sweep(self, *more: str) -> None:
+        """Remove the tables of written() so far, and more, when no plan to come reads them."""
+        self.drop(*self.passing, *more)
+        self.passing.clear()
 
     def drop(self, *paths: str) -> None:
         """Remove superseded tables that no live plan reads."""
