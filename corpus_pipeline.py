@@ -11,18 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontamination, language, neardup, pii
-from lattica.llm.common import prepare, table, written
+from lattica.llm.common import prepare, sieve, table, written
 
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 #: Documents whose predicted language is less sure than this go. Of four languages, a text that
-#: is in none of them scores about 0.25 to 0.4; prose in one scores far more.
-LEAST_SCORE = 0.45
+#: is in none of them scores little over 0.25; even a few words of prose score more.
+LEAST_SCORE = 0.3
+#: The encoder's memos by their full size: executors that ran the stages before have little memory left.
+MEMO = 0.15
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids in gone(id). Only rows that pass a sieve of these are shuffled."""
+    hit = F.coalesce(sieve(gone, "id")(F.col("doc_id")), F.lit(False))
+    return docs.where(~hit).unionAll(docs.where(hit).join(gone, docs.doc_id == gone.id, "left_anti"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go: null texts, texts without letters, and texts
     that no language fits (score under LEAST_SCORE). lang becomes the predicted one."""
@@ -36,17 +44,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the least doc_id stays; rows with a null doc_id and texts without words stay."""
     prepare(spark)
     docs = _documents(docs)
-    dropped = written(neardup.near_duplicates(docs, 5, 80, 100).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    one = docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
-    return one.where("doc_id is null").unionAll(one.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    dropped = written(neardup.near_duplicates(docs, 5, 80, 100).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    repeated = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "repeated")
+    once = docs.where(sieve(repeated, "id")(F.col("doc_id"))).join(repeated, docs.doc_id == repeated.id, "left_semi")
+    once = once.join(dropped, once.doc_id == dropped.id, "left_anti").dropDuplicates(["doc_id"])
+    return _without(docs, written(dropped.unionAll(repeated).distinct(), "gone")).unionAll(once)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     prepare(spark)
     docs = _documents(docs)
-    found = written(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking_id")).distinct(), "leaks")
-    return docs.join(found, docs.doc_id == found.leaking_id, "left_anti")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id")).distinct()
+    return _without(docs, written(found, "leaks"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +68,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the token ids and of the text decoded from them."""
     prepare(spark)
-    return bpe.round_trip(_documents(docs))
+    return bpe.round_trip(_documents(docs), memo=MEMO)
 
 
 STAGES = [

@@ -27,8 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import claim_memo, task_memo
+
 #: Entries of the memo of steps, of pair checks, and of the memo of whole words.
-STEPS, JUMPS, PAIRS, WORDS, LONGEST_MEMO = 400_000, 500_000, 200_000, 200_000, 40
+STEPS, JUMPS, PAIRS, WORDS, LONGEST_MEMO = 400_000, 150_000, 100_000, 100_000, 40
 #: A text beyond this many characters is encoded in pieces cut before white space.
 PIECE = 1 << 20
 
@@ -51,8 +53,8 @@ class _Node:
 class Merges:
     """Vocabulary and merge ranks over symbols: 0-255 a byte, 256-511 a byte that ends a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
-        rank = {}
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str, memo: float = 1.0):
+        rank, self.most_pairs = {}, int(PAIRS * memo)
         chars = {c: b for b, c in enumerate(byte_symbols())}
         self.strings = {i: s for s, i in vocab.items()}
         self.suffix = suffix
@@ -108,7 +110,7 @@ class Merges:
         key = (a, b)
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= PAIRS:
+            if len(self._pairs) >= self.most_pairs:
                 self._pairs.clear()
             known = self._pairs[key] = self.plain(self.spelled[a] + self.spelled[b]) == [a, b]
         return known
@@ -119,8 +121,9 @@ class Encoder:
     since that end, tokens before it that are not yet emitted). The first token of each list
     is the last one emitted, or -1."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, memo: float = 1.0):
         self.merges = merges
+        self.most_steps, self.most_jumps = int(STEPS * memo), int(JUMPS * memo)
         self.nodes: dict[int, _Node] = {0: merges.root}
         self._anew()
 
@@ -129,14 +132,18 @@ class Encoder:
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.jumps: dict[tuple[int, bytes], tuple[int, tuple[int, ...]]] = {}
+        self.older: dict[tuple[int, bytes], tuple[int, tuple[int, ...]]] = {}
 
     def _jump(self, state: int, data: bytes) -> tuple[int, tuple[int, ...]]:
         """The steps over some bytes as one, also put into its memo."""
         key, emitted, get = (state, data), (), self.steps.get
-        for x in data:
-            state, new = get(state << 9 | x) or self.step(state, x)
-            emitted += new
-        found = self.jumps[key] = (state, emitted)
+        found = self.older.get(key)
+        if found is None:
+            for x in data:
+                state, new = get(state << 9 | x) or self.step(state, x)
+                emitted += new
+            found = (state, emitted)
+        self.jumps[key] = found
         return found
 
     def step(self, state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
@@ -179,7 +186,7 @@ class Encoder:
         """Tokens of one word, each as soon as it is stable."""
         state = 0
         for x in symbols:
-            if len(self.steps) >= STEPS:  # forget all but the present state
+            if len(self.steps) >= self.most_steps:  # forget all but the present state
                 now = self.states[state]
                 self._anew()
                 state = self.numbers.setdefault(now, len(self.states))
@@ -195,8 +202,10 @@ class Encoder:
             return list(self.stream(data))
         if len(data) > LONGEST_MEMO:
             return list(self.stream((*data[:-1], data[-1] + 256)))
-        if len(self.steps) >= STEPS or len(self.jumps) >= JUMPS:
+        if len(self.steps) >= self.most_steps:
             self._anew()
+        elif len(self.jumps) >= self.most_jumps:  # two generations: jumps in use stay
+            self.older, self.jumps = self.jumps, {}
         state, out, get, last = 0, [], self.jumps.get, len(data) - 1
         for at in range(0, last, 4):
             piece = data[at : at + 4] if at + 4 < last else data[at:last]
@@ -243,22 +252,28 @@ class Tokenizer:
     """A tokenizers file of the kind: NFC, white space to one space, lower case; split by a
     pattern; byte-level BPE with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: float = 1.0):
+        self.most_words = int(WORDS * memo)
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "", memo)
         self.special = {t["id"]: t["content"] for t in spec["added_tokens"]}
         ids = {s: i for i, s in self.special.items()}
         self.special_ids = ids
         self.cut = regex.compile("|".join(map(regex.escape, sorted(ids, key=len, reverse=True)))) if ids else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.encoder, self.decoder = Encoder(self.merges), Decoder(self.merges, self.special)
+        self.encoder, self.decoder = Encoder(self.merges, memo), Decoder(self.merges, self.special)
         top = max(*self.merges.strings, *self.special) + 1
         self.id_text = [str(i) for i in range(top)]
         self.library_text = [self.special.get(i) or self.merges.strings.get(i, "") for i in range(top)]
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
+        self.encoder._anew()
+        self.merges._pairs.clear()
+
     def normal(self, text: str) -> str:
         """Lower case is taken character by character, so a final sigma is as any other."""
         if text.isascii():
@@ -295,7 +310,7 @@ class Tokenizer:
             else:
                 found = (len(ids), " ".join([id_text[i] for i in ids]), " ".join([library[i] for i in ids]))
         if len(word) <= LONGEST_MEMO:
-            if len(self.words) >= WORDS:  # two generations: words in use stay
+            if len(self.words) >= self.most_words:  # two generations: words in use stay
                 self.older, self.words = self.words, {}
             self.words[word] = found
         return found
@@ -333,10 +348,16 @@ class Tokenizer:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker: its memos serve all tasks that the worker runs."""
-    return Tokenizer(path)
+@lru_cache(maxsize=1)
+def _loaded(path: str, memo: float = 1.0) -> Tokenizer:
+    return Tokenizer(path, memo)
+
+
+def tokenizer(path: str, memo: float = 1.0) -> Tokenizer:
+    """One per Python worker; its memos last for a task. memo: their size; at 1 they take about 220 MB."""
+    own = _loaded(path, memo)
+    claim_memo("bpe", own.forget)
+    return own
 
 
 def default_path() -> str:
@@ -345,7 +366,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, memo: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
     A null text is the empty one: no tokens and the digest of nothing. Rows may repeat and
@@ -354,13 +375,13 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        digests = tokenizer(path).digests
+        digests = tokenizer(path, memo).digests
         for batch in batches:
             found = [digests(t) for t in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(task_memo(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -378,4 +399,4 @@ def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
                 texts.append("".join([decoder.feed(i) for i in found]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(task_memo(run), "doc_id long, ids array<int>, decoded string")

@@ -2,19 +2,65 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.ship import ship
+
 #: Rows in an Arrow batch given to Python. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
 
 
+_MEMO: dict = {"owner": None, "clear": None}
+
+
+def claim_memo(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a Python worker's task keeps, and how it is freed; task_memo frees it."""
+    if _MEMO["owner"] not in (owner, None):
+        _MEMO["clear"]()
+    _MEMO.update(owner=owner, clear=clear)
+
+
+def task_memo(run: Callable) -> Callable:
+    """A function of a task's batches whose memo goes when the task ends: workers wait idle in numbers
+    that are not ours to set, and should hold little meanwhile."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memo()
+
+    return task
+
+
+def release_memo() -> None:
+    """Workers import this function, and so see the module's own memo; a closure would carry a copy."""
+    if _MEMO["clear"]:
+        _MEMO["clear"]()
+    _MEMO.update(owner=None, clear=None)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Python's, Arrow's and, where the C library can, its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -60,12 +106,15 @@ def sieve(members: DataFrame, column: str) -> Callable[[Column], Column]:
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
     at_byte = members.select(place(F.col(column)).alias("at")).select(F.expr("at div 8").alias("byte"), F.expr("shiftleft(1, cast(at % 8 as int))").alias("bit"))
     table = bytearray(1 << (SIEVE_BITS - 3))
-    for r in at_byte.groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect():
-        table[r.byte] = r.bits
+    found = at_byte.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    for i, bits in zip(found["byte"].to_pylist(), found["bits"].to_pylist()):
+        table[i] = bits
+    # a scalar subquery, not a literal: plans print their literals
+    bits = members.sparkSession.createDataFrame([(table,)], "bits binary").scalar()
 
     def passes(c: Column) -> Column:
         at = place(c)
-        byte = F.substring(F.lit(table), (F.floor(at / 8) + 1).cast("int"), 1)
+        byte = F.substring(bits, (F.floor(at / 8) + 1).cast("int"), 1)
         return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
 
     return passes

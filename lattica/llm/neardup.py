@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sieve, written
+from .common import claim_memo, sieve, task_memo, written
 from .components import components
 
 COORDINATES, MATCHES, BLOCK, WORD_MEMO = 32, 17, 4000, 300_000
@@ -51,6 +51,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def claim_words() -> None:
+    claim_memo("words", _WORDS.clear)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words: A-Z lower-cased, cut at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -83,6 +87,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sig (32-bit minima, null for an empty set)."""
 
     def run(batches):
+        claim_words()
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -99,7 +104,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "sig"])
 
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return keyed.mapInArrow(task_memo(run), "doc_id long, n_shingles long, digest binary, sig array<int>")
 
 
 def _roots(n: int, linked) -> np.ndarray:
@@ -213,6 +218,7 @@ def _list_links(batches):
 
 def _cluster_links(width: int, num: int, den: int):
     def run(batches):
+        claim_words()
         for t in _grouped(batches):
             key, docs, texts = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)
             edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -258,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").withColumnRenamed("id", "doc_id")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(sieve(clusters, "id")(F.col("doc_id"))).join(sized.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    confirmed = _blocked(texts, "component", "n", "text").mapInArrow(_cluster_links(width, num, den), "a long, b long")
+    confirmed = _blocked(texts, "component", "n", "text").mapInArrow(task_memo(_cluster_links(width, num, den)), "a long, b long")
     linked = components(confirmed, "links")
 
     ids = written(linked.withColumnRenamed("id", "rep").withColumnRenamed("component", "root"), "components")

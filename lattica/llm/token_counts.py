@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
-from .common import written
+from .common import task_memo, written
 
 BLOCK = 64
 
@@ -33,7 +33,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
             n = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(task_memo(run), "doc_id long, n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
