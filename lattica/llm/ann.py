@@ -4,9 +4,11 @@ residuals, asymmetric distance tables, and exact reranking.
 Centroids and codebooks are fitted on the driver on a bounded sample (SAMPLE vectors of least
 hash); every vector is indexed. Equal vectors form a class that is indexed once with its KEEP
 least ids, as no answer needs more of them; so a vector that a third of all rows hold is one
-entry. A query class probes the nearest lists, at least `probes` and as many as hold
-SHORTLIST entries; lists and their queries are scanned in blocks of bounded size; the
-SHORTLIST nearest by table are reranked by the exact cosine in double precision.
+entry. A query class probes the nearest lists, PROBE_SHARE of all (PROBES at least) and as many
+as hold SHORTLIST entries: with a fixed number of lists, the share searched and the recall fall as
+the input grows. Entries are dealt by hash into blocks of bounded size, whatever their list, and a
+block is scanned for a bounded number of queries at a time; the SHORTLIST nearest by table are
+reranked by the exact cosine in double precision.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite numbers take no part, nor do rows with a null vec_id; ties go to the smaller vec_id;
@@ -16,6 +18,8 @@ returned; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE, MOST_LISTS, SUBSPACES, CODES, SHORTLIST, PROBES, LIST_BLOCK, QUERY_BLOCK = 16_384, 1024, 16, 256, 128, 24, 16_384, 1024
+SAMPLE, MOST_LISTS, SUBSPACES, CODES, SHORTLIST, PROBES, PROBE_SHARE = 16_384, 1024, 16, 256, 256, 24, 0.6
+ENTRY_BLOCK, LEAST_BLOCKS, QUERY_BLOCK = 65_536, 16, 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -68,12 +73,19 @@ class Index:
         rest = x - self.centroids[own]
         return own, np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray, number: int) -> np.ndarray:
-        """(queries, subspaces, codes): squared distances of the queries' residuals to the codewords."""
-        rest = queries - self.centroids[number]
-        out = np.full((len(queries), len(self.parts), CODES), np.inf, np.float32)
+    def offsets(self) -> np.ndarray:
+        """(lists, subspaces, codes): |b|^2 + 2 c.b of the codewords b under each list's centroid c."""
+        out = np.zeros((len(self.centroids), len(self.parts), CODES), np.float32)
         for i, (p, b) in enumerate(zip(self.parts, self.books)):
-            out[:, i, : len(b)] = ((rest[:, p][:, None, :] - b[None]) ** 2).sum(axis=2)
+            out[:, i, : len(b)] = (b * b).sum(axis=1) + 2 * (self.centroids[:, p] @ b.T)
+        return out
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, subspaces, codes): -2 q.b. With |q - c|^2 and the offsets this adds up to the
+        squared distance of the query's residual to the codewords, with one table for all lists."""
+        out = np.zeros((len(queries), len(self.parts), CODES), np.float32)
+        for i, (p, b) in enumerate(zip(self.parts, self.books)):
+            out[:, i, : len(b)] = -2 * (queries[:, p] @ b.T)
         return out
 
 
@@ -93,19 +105,27 @@ def _scan(index):
     def run(key, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(queries):
             return pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "distance": []})
-        entries = entries.sort_values("rep", kind="stable")
+        entries = entries.sort_values(["list", "rep", "h1", "h2"], kind="stable")
+        own = entries["list"].to_numpy()
         codes = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(entries), -1)
-        x, number, out = unit(list(queries["v"])), int(key[0]), []
+        c, at_part = index.value.centroids, np.arange(codes.shape[1])
+        offset = np.zeros(len(codes), np.float32)
+        table = index.value.offsets()
+        for i in at_part:
+            offset += table[own, i, codes[:, i]]
+        flat = codes.astype(np.int32) + at_part.astype(np.int32) * CODES
+        x, out = unit(list(queries["v"])), []
         h1, h2, q1, q2 = (f.to_numpy() for f in (entries["h1"], entries["h2"], queries["q1"], queries["q2"]))
+        probed = np.unpackbits(np.frombuffer(b"".join(queries["lists"]), np.uint8).reshape(len(x), -1), axis=1).astype(bool)
         for at in range(0, len(x), 64):
-            tables = index.value.tables(x[at : at + 64], number)
-            distance = np.zeros((len(tables), len(codes)), np.float32)
-            for s in range(codes.shape[1]):
-                distance += tables[:, s, :][:, codes[:, s]]
-            order = np.argsort(distance, axis=1, kind="stable")[:, :SHORTLIST]
-            row = np.repeat(np.arange(len(tables)), order.shape[1])
-            flat = order.ravel()
-            out.append(pd.DataFrame({"q1": q1[at + row], "q2": q2[at + row], "h1": h1[flat], "h2": h2[flat], "distance": distance[row, flat].astype(np.float64)}))
+            tables = index.value.tables(x[at : at + 64])
+            coarse = ((x[at : at + 64, None, :] - c[None]) ** 2).sum(axis=2).astype(np.float32)
+            for n in range(len(tables)):
+                here = np.flatnonzero(probed[at + n][own])
+                distance = coarse[n][own[here]] + offset[here] + tables[n].ravel()[flat[here]].sum(axis=1)
+                order = np.argsort(distance, kind="stable")[:SHORTLIST]
+                here = here[order]
+                out.append(pd.DataFrame({"q1": np.full(len(here), q1[at + n]), "q2": np.full(len(here), q2[at + n]), "h1": h1[here], "h2": h2[here], "distance": distance[order].astype(np.float64)}))
         return pd.concat(out)
 
     return run
@@ -118,7 +138,7 @@ def _exact(batches):
             yield pd.DataFrame({"q1": pdf["q1"], "q2": pdf["q2"], "score": np.clip(score, -1.0, 1.0), "ids": pdf["ids"]})
 
 
-def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probes: int = PROBES) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest others."""
     spark = embeddings.sparkSession
     every_class = written(classes(embeddings, k + 1), "vector-classes")
@@ -140,7 +160,8 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probe
 
     entries = written(every_class.mapInPandas(encode, "list int, rep long, h1 long, h2 long, code binary"), "index")
     held = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}
-    blocks = {i: -(-c // LIST_BLOCK) for i, c in held.items()}
+    probes = max(PROBES, math.ceil(PROBE_SHARE * len(built.centroids))) if probes is None else probes
+    blocks = max(LEAST_BLOCKS, -(-n // ENTRY_BLOCK))
     sizes = np.array([held.get(i, 0) for i in range(len(built.centroids))])
 
     is_query = F.pmod("vec_id", F.lit(every)) == 0
@@ -156,20 +177,16 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probe
             order = np.argsort((c * c).sum(axis=1) / 2 - x @ c.T, axis=1, kind="stable")
             before = np.cumsum(sizes[order], axis=1) - sizes[order]
             take = ((np.arange(len(c))[None, :] < probes) | (before < SHORTLIST)) & (sizes[order] > 0)
-            row, col = np.nonzero(take)
-            number = order[row, col]
-            reps = np.array([blocks[i] for i in number])
-            row, number = np.repeat(row, reps), np.repeat(number, reps)
-            block = np.concatenate([np.arange(r) for r in reps]) if len(reps) else reps
-            yield pd.DataFrame({"list": number.astype(np.int32), "block": block.astype(np.int32), "q1": pdf["q1"].to_numpy()[row], "q2": pdf["q2"].to_numpy()[row], "v": [pdf["v"].iloc[i] for i in row]})
-
-    probed = queries.mapInPandas(probe, "list int, block int, q1 long, q2 long, v array<float>" if "float" in dict(every_class.dtypes)["v"] else "list int, block int, q1 long, q2 long, v array<double>")
+            chosen = np.zeros(take.shape, bool)
+            np.put_along_axis(chosen, order, take, axis=1)
+            yield pd.DataFrame({"q1": pdf["q1"], "q2": pdf["q2"], "v": pdf["v"], "lists": [r.tobytes() for r in np.packbits(chosen, axis=1)]})
+
+    kind = "float" if "float" in dict(every_class.dtypes)["v"] else "double"
     query_parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries_in = written(probed.withColumn("part", F.pmod("q1", F.lit(query_parts)).cast("int")), "probes")
-    parts = written(queries_in.select("list", "part").distinct(), "probed-lists")
-    number_of_blocks = F.element_at(F.lit([blocks.get(i, 1) for i in range(len(sizes))]), F.col("list") + 1)
-    placed = entries.withColumn("block", F.pmod(F.xxhash64("rep"), number_of_blocks).cast("int")).join(F.broadcast(parts) if len(sizes) * query_parts < 100_000 else parts, "list")
-    scanned = placed.groupBy("list", "block", "part").cogroup(queries_in.groupBy("list", "block", "part")).applyInPandas(_scan(index), "q1 long, q2 long, h1 long, h2 long, distance double")
+    each = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    probed = written(queries.mapInPandas(probe, f"q1 long, q2 long, v array<{kind}>, lists binary").withColumn("part", F.pmod("q1", F.lit(query_parts)).cast("int")), "probes")
+    placed = entries.withColumn("block", F.pmod(F.xxhash64("rep", "h1"), F.lit(blocks)).cast("int")).withColumn("part", each(query_parts))
+    scanned = placed.groupBy("block", "part").cogroup(probed.withColumn("block", each(blocks)).groupBy("block", "part")).applyInPandas(_scan(index), "q1 long, q2 long, h1 long, h2 long, distance double")
     place = F.row_number().over(Window.partitionBy("q1", "q2").orderBy("distance", "h1", "h2"))
     short = scanned.withColumn("place", place).where(F.col("place") <= SHORTLIST).select("q1", "q2", "h1", "h2")
     both = short.join(every_class, ["h1", "h2"]).join(queries.withColumnRenamed("v", "qv"), ["q1", "q2"]).select("q1", "q2", "v", "qv", "ids")

@@ -61,6 +61,14 @@ def test_copies_ties_and_unsound_rows(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_number_of_lists(spark):
+    """Vectors as shapeless as the driver's: 6,000 of 64 dimensions are 77 lists."""
+    x = np.random.default_rng(1).normal(size=(6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    want = brute([(i, v.tolist(), 0) for i, v in enumerate(x)], every=100)
+    assert recall(answers(ann.nearest_neighbours(df, every=100)), want) >= 0.9
+
+
 def test_few_and_no_rows(spark):
     got = answers(ann.nearest_neighbours(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [-1.0, 0.0], 0)], SCHEMA)))
     assert got == {0: [(1, pytest.approx(0.5**0.5)), (2, pytest.approx(-1.0))]}
