@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data.
 
 Entities to protect are what the base patterns find: e-mail and IP addresses, card and phone
-numbers. A term discloses an entity in so far as it tells of it: over all documents,
-PMI(entity; term) = log2(N * both / (docs with entity * docs with term)) is compared with the
-entity's own information log2(N / docs with entity). From GENERALISE of it on, the term is
-generalised to a placeholder where it stands near the entity; from REMOVE on it is removed.
-`both` counts documents that have the term within NEAR words of the entity; fewer than SUPPORT
-of them prove nothing. Documents without the entity stay as they are.
+numbers. A term (any word of letters outside of all spans) discloses an entity in so far as it
+tells of it: over all documents, PMI(entity; term) = log2(N * both / (docs with entity *
+(docs with term + 1))) is compared with the entity's own information log2(N / docs with entity).
+From GENERALISE of it on, the term is generalised to a placeholder wherever it stands in a document
+that holds the entity; from REMOVE on it is removed. `both` counts documents that have both, in
+any place, and no support is asked for: an entity of one document is the rule. The one added to a
+term's documents is its smoothing, so that a term of few documents proves less than one of many.
+Documents without the entity stay as they are.
 
 Term counts cover the whole corpus. Where the terms in question (or the disclosing pairs) are
 at most BROADCAST, workers get them by broadcast and count only them; beyond that, all words'
@@ -39,10 +41,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W\d_]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-NEAR, SUPPORT, GENERALISE, REMOVE, BROADCAST = 6, 4, 0.8, 0.95, 200_000
+GENERALISE, REMOVE, BROADCAST = 0.8, 0.95, 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -104,13 +106,17 @@ def entity_key(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], span: tuple[int, int, int]) -> list[tuple[int, int, str]]:
-    """(start, end, lower-cased term) of up to NEAR words on either side of the span, outside of all spans."""
-    start, _, end = span
-    lo, hi = max(0, start - 200), min(len(text), end + 200)
-    before = [(m.start(), m.end()) for m in WORD.finditer(text, lo, start) if m.start() > lo or lo == 0][-NEAR:]
-    after = [(m.start(), m.end()) for m in WORD.finditer(text, end, hi) if m.end() < hi or hi == len(text)][:NEAR]
-    return [(a, b, text[a:b].lower()) for a, b in before + after if not any(x < b and a < y for x, _, y in spans)]
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, lower-cased term) of all words outside of all spans, which are sorted by start."""
+    out, i, reach = [], 0, 0
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while i < len(spans) and spans[i][0] < b:
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach <= a:
+            out.append((a, b, m.group().lower()))
+    return out
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -122,12 +128,8 @@ def contexts(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text)
                 if spans:
-                    own = set()
-                    for s in spans:
-                        key = entity_key(s[1], text[s[0] : s[2]])
-                        own.add((key, None))
-                        own.update((key, term) for _, _, term in near_terms(text, spans, s))
-                    out += [(doc_id, k, t) for k, t in own]
+                    terms = {term for _, _, term in free_terms(text, spans)}
+                    out += [(doc_id, k, t) for k in {entity_key(s[1], text[s[0] : s[2]]) for s in spans} for t in (None, *terms)]
             columns = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "entity", "term"])
 
@@ -144,8 +146,8 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
             count: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    words = WORD.findall(text.lower())
-                    count.update(known.value.intersection(words) if known else set(words))
+                    words = {w.lower() for w in set(WORD.findall(text))}
+                    count.update(known.value & words if known else words)
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
@@ -155,15 +157,15 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame) -> DataFrame:
     """entity, term, ratio: terms whose PMI with the entity is at least GENERALISE of its information."""
     found = written(contexts(docs), "contexts").distinct()
-    entities = found.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    both = found.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    entities = found.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    both = found.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(both.join(entities, "entity"), "pairs")
     terms = pairs.select("term").distinct()
     if terms.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
     n = docs.count()
     counted = pairs.join(term_documents(docs, terms), "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * F.col("docs")))
+    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * (F.col("docs") + 1)))
     own = F.log2(F.lit(float(n)) / F.col("n_entity"))
     ratio = F.when(own > 0, pmi / own).otherwise(0.0)
     return written(counted.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE), "disclosures")
@@ -174,14 +176,12 @@ def found_in(text: str, known) -> list[tuple[int, int, int, float]]:
     spans = base_spans(text)
     if not spans:
         return []
-    terms: dict[tuple[int, int], float] = {}
-    for s in spans:
-        reveals = known(entity_key(s[1], text[s[0] : s[2]]))
-        if reveals:
-            for a, b, term in near_terms(text, spans, s):
-                if term in reveals:
-                    terms[a, b] = max(terms.get((a, b), 0.0), reveals[term])
-    return sorted([(a, k, b, 1.0) for a, k, b in spans] + [(a, 4, b, r) for (a, b), r in terms.items()])
+    reveals: dict[str, float] = {}
+    for key in {entity_key(k, text[a:b]) for a, k, b in spans}:
+        for term, ratio in (known(key) or {}).items():
+            reveals[term] = max(reveals.get(term, 0.0), ratio)
+    terms = [(a, 4, b, reveals[t]) for a, b, t in free_terms(text, spans) if t in reveals] if reveals else []
+    return sorted([(a, k, b, 1.0) for a, k, b in spans] + terms)
 
 
 def sanitised(text: str, spans: list[tuple[int, int, int, float]]) -> str:

@@ -75,6 +75,20 @@ def test_disclosing_terms(spark, monkeypatch):
                 assert r.clean_text == rows[i][1]
 
 
+def test_terms_of_an_entity_of_one_document(spark, monkeypatch):
+    """Whatever the distance and the length; words that others use as well stay."""
+    rng = random.Random(3)
+    filler = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows = [(i, " ".join(rng.choice(filler) for _ in range(120)), None, None, None) for i in range(2000)]
+    plain7 = rows[7][1]
+    rows[7] = (7, f"Xu Quillfeather {plain7} xu@home.org {plain7} quillfeather", None, None, None)
+    for limit in (pii.BROADCAST, 0):
+        monkeypatch.setattr(pii, "BROADCAST", limit)
+        got = {r.doc_id: r for r in pii.sanitise(frame(spark, rows)).collect()}
+        assert got[7].clean_text == f"[TERM] [TERM] {plain7} [EMAIL] {plain7} [TERM]"
+        assert all(got[i].clean_text == rows[i][1] for i in got if i != 7)
+
+
 def test_awkward_rows(spark):
     rows = documents()
     got = pii.sanitise(clashing(spark, rows)).collect()
