@@ -28,9 +28,8 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        count = tokenizer(path).count
         for batch in batches:
-            n = [count(t) for t in batch.column(1).to_pylist()]
+            n = tokenizer(path).counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(task_memo(run), "doc_id long, n_tokens long")

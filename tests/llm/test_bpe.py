@@ -31,15 +31,38 @@ def test_against_the_library(library):
         ids = library.encode(t, add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         assert own.ids(t) == ids, t
-        assert own.digests(t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert own.digests([t])[0][:3] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), t
+
+
+def test_any_characters_against_the_library(library):
+    """Unassigned and new characters, marks of every class, and separators, alone and among letters."""
+    own, rng = bpe.Tokenizer(PATH), random.Random(7)
+    texts = ["".join(chr(x) for x in range(at, at + 16) if not 0xD800 <= x < 0xE000) for at in range(0, 0x32000, 16)]
+    odd = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and bpe.unsettled()[ord(c)]]
+    for _ in range(20_000):
+        texts.append("".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("aé 1'\u0301\u1e0aŵΣ\n한각") for _ in range(rng.randint(1, 9))))
+        texts.append("".join(chr(rng.choice((rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x1FBFF)))) for _ in range(rng.randint(1, 6))))
+    for t, got, want in zip(texts, own.all_ids(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert got == want.ids, ascii(t)
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    for name, value in (("STEPS", 50), ("PAIRS", 20), ("WORDS", 5), ("PIECE", 40)):
+    for name, value in (("PAIR_BITS", 4), ("LONGEST", 6), ("GROUP", 40)):
         monkeypatch.setattr(bpe, name, value)
-    own = bpe.Tokenizer(PATH)
-    for t in list(odd_texts())[:400]:
+    own, texts = bpe.Tokenizer(PATH, 5), list(odd_texts())[:400]
+    for t in texts:
         assert own.ids(t) == library.encode(t, add_special_tokens=False).ids, t
+    assert own.all_ids(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.digests(texts) == [bpe.Tokenizer(PATH).digests([t])[0] for t in texts[:1]] + own.digests(texts[1:])
+
+
+def test_pairs_stay_apart_as_by_the_definition():
+    merges, rng = bpe.Tokenizer(PATH).merges, random.Random(5)
+    inner = [t for t, s in merges.spelled.items() if s[-1] < 256]
+    pairs = [(rng.choice(inner), rng.choice(list(merges.spelled))) for _ in range(1500)]
+    pairs += [(a, a) for a in inner[::40]]
+    want = [merges.plain(merges.spelled[a] + merges.spelled[b]) == [a, b] for a, b in pairs]
+    assert merges.apart(*(bpe.np.array(x) for x in zip(*pairs))).tolist() == want
 
 
 def test_lookahead_bounds_open_ends():
@@ -47,18 +70,22 @@ def test_lookahead_bounds_open_ends():
     rng = random.Random(3)
     for _ in range(200):
         word = "".join(rng.choice("theinrsaoct") for _ in range(80)).encode()
-        state = 0
+        ends = [(0, (-1,))]
         for x in word[:-1]:
-            state = own.encoder.step(state, x)[0]
-            assert len(own.encoder.states[state]) <= own.merges.lookahead + 1
-            assert max(len(c) for _, c in own.encoder.states[state]) <= own.merges.lookahead + 2
+            ends, _ = own.encoder.step(ends, x)
+            assert len(ends) <= own.merges.lookahead + 1
+            assert max(len(c) for _, c in ends) <= own.merges.lookahead + 2
+        assert own.encoder.word(word) == own.merges.lockstep([word])[0]
 
 
 def test_byte_state_machine_gives_the_text_back():
     own = bpe.Tokenizer(PATH)
     for t in ("hello wörld", "日本 語 🤖", "naïve café"):
-        decoder = bpe.Decoder(own.merges, own.special)
-        assert ("".join(map(decoder.feed, own.ids(t))) + decoder.finish()).strip() == own.normal(t)
+        for some in (1, 2, 100):
+            decoder, ids = own.decoder(), own.ids(t)
+            assert ("".join(decoder.feed(ids[i : i + some]) for i in range(0, len(ids), some)) + decoder.finish()).strip() == own.normal(t)
+    broken, cut = own.ids("\U00010348")[:1], own.decoder()
+    assert cut.feed(broken) + cut.finish() == "\ufffd"
 
 
 def test_rows_and_histogram(spark, library):
