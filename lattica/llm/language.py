@@ -1,15 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read in lower case as runs of non-space characters in UTF-8, each cut after MAX_RUN
-bytes; the network starts anew at each run, gives every byte a distribution over the languages
-from a forward and a backward gated recurrent layer, and a document's distribution is the mean
-over its bytes. Runs with a digit or an @ (numbers, keys, addresses) are labelled too, but
-count in the mean only where the text has no other run with a letter. As a run's outcome depends on the run alone, workers keep the outcomes of runs
-they met (in a bounded memo that changes no result).
-
-It is trained on the driver by backpropagation through time in numpy, on a bounded sample:
-at most MAX_LANGS languages (the most frequent), for each the documents of least hash in
-SAMPLE_DOCS hash classes, SAMPLE_CHARS characters of each. Prediction reads whole texts.
+A text is read in lower case in UTF-8. One gated layer runs forwards and one backwards, each with
+an update gate; every byte gets a distribution over the languages from both states. A document's
+distribution is the mean over the bytes of its letters (of a-z and of all characters beyond
+ASCII); other bytes are labelled and carry the state on, but are not pooled, as digits and signs are of no language. The state runs on
+over words and whole segments: a text is cut into segments of SEGMENT bytes, at the beginning of a
+character, and each is read with CONTEXT bytes more on either side, which give it state and are not pooled.
+
+The network is trained on the driver by backpropagation through time in numpy, on a bounded sample of
+labelled rows outside the held-out fold: for each language the documents of least hash in up to
+SAMPLE_DOCS hash classes (fewer beyond SAMPLE_ALL / SAMPLE_DOCS languages; more than SAMPLE_ALL languages
+raise an error, none is dropped), SAMPLE_CHARS characters of each from a place set by its hash. Every language has the same weight.
+Prediction reads whole texts.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or if there is
 nothing to learn from; a null doc_id counts as the empty text for the folds; repeated rows
@@ -24,13 +26,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_memo, task_memo
-
 FOLDS = 5
-MAX_LANGS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RUNS = 64, 128, 4000, 12_000
-MAX_RUN, HIDDEN, MEMO = 24, 16, 120_000
+SAMPLE_ALL, SAMPLE_DOCS, SAMPLE_CHARS = 8192, 128, 4000
+SEGMENT, CONTEXT, HIDDEN, ROWS = 480, 16, 8, 1024
+TRAIN_BYTES, TRAIN_ROWS, TRAIN_STEPS = 64, 256, 400
 LETTER = regex.compile(r"\p{L}")
-NO_PROSE = regex.compile(r"[\p{N}@]")
+POOLED = np.array([b >= 0x80 or 97 <= b <= 122 for b in range(256)])
+#: Byte 0 is padding: its gate is shut, so a state passes it unchanged.
+SHUT = -30.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -38,237 +41,214 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def runs_of(text: str) -> list[str]:
-    return text.lower().split()
-
+def bytes_of(text: str) -> np.ndarray:
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    return np.where(data == 0, 32, data).astype(np.uint8)
 
-def voting(runs: list[str]) -> list[str]:
-    """The runs that count for a document."""
-    if not NO_PROSE.search(" ".join(runs)):
-        return runs
-    prose = [r for r in runs if not NO_PROSE.search(r)]
-    return prose if LETTER.search(" ".join(prose)) else runs
 
+def segments(data: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(from, first, end, to): the segment first..end and its surroundings from..to, all at beginnings of characters."""
+    lead = data & 0xC0 != 0x80
+    cuts = [0]
+    while len(data) - cuts[-1] > SEGMENT:
+        at = cuts[-1] + SEGMENT
+        back = np.flatnonzero(lead[at - 3 : at + 1])
+        cuts.append(at - 3 + int(back[-1]) if len(back) else at)
+    cuts.append(len(data))
+    return [(max(0, a - CONTEXT), a, b, min(len(data), b + CONTEXT)) for a, b in zip(cuts[:-1], cuts[1:])]
 
-def byte_matrix(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of runs of at most MAX_RUN bytes, padded with zeros, and their lengths."""
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-    width = int(lengths.max())
-    flat = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in runs]), np.uint8)
-    return flat.reshape(len(runs), width), lengths
 
-
-class ByteGru:
-    """x: tables of input projections by byte (update, reset, candidate), one for a direction;
-    u: recurrent weights; out: from both hidden states to the labels."""
+class ByteNet:
+    """xz, xc: by byte, what goes into the gate and the candidate state; uz, uc: what the state before does;
+    f and b: the two directions; out and bias: from both states to the labels."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         self.labels, self.hidden = labels, hidden
         rng, h = np.random.default_rng(seed), hidden
-        shape = {"xf": (256, 3 * h), "xb": (256, 3 * h), "uf": (h, 3 * h), "ub": (h, 3 * h), "out": (2 * h, len(labels)), "bias": (1, len(labels))}
-        self.w = {k: rng.normal(0, 0.4 if k[0] == "x" else h**-0.5, s).astype(np.float32) for k, s in shape.items()}
-
-    def _layer(self, x: np.ndarray, u: np.ndarray, data: np.ndarray, mask: np.ndarray, keep: bool):
-        """States after each byte, left to right; where mask is 0 the state stays 0."""
-        n, width = data.shape
-        h, state = self.hidden, np.zeros((n, self.hidden), np.float32)
-        states, saved = np.zeros((width, n, h), np.float32), []
-        for t in range(width):
-            proj = x[data[:, t]]
-            rec = state @ u[:, : 2 * h]
-            gates = np.tanh((proj[:, : 2 * h] + rec) * 0.5) * 0.5 + 0.5
-            z, r = gates[:, :h], gates[:, h:]
-            gated = r * state
-            cand = np.tanh(proj[:, 2 * h :] + gated @ u[:, 2 * h :])
-            new = (state + z * (cand - state)) * mask[:, t : t + 1]
-            if keep:
-                saved.append((state, z, r, gated, cand))
-            states[t] = state = new
-        return states, saved
-
-    def forward(self, data: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """Label probabilities of every byte: (width, runs, labels)."""
-        width = data.shape[1]
-        mask = (np.arange(width)[None, :] < lengths[:, None]).astype(np.float32)
-        ahead, kept_f = self._layer(self.w["xf"], self.w["uf"], data, mask, keep)
-        back, kept_b = self._layer(self.w["xb"], self.w["ub"], data[:, ::-1], mask[:, ::-1], keep)
-        both = np.concatenate([ahead, back[::-1]], axis=2)
-        logits = both @ self.w["out"] + self.w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
+        shape = {f"{k}{d}": (256, h) if k[0] == "x" else (h, h) for d in "fb" for k in ("xz", "xc", "uz", "uc")} | {"outf": (h, len(labels)), "outb": (h, len(labels)), "bias": (1, len(labels))}
+        self.w = {k: rng.normal(0, 0.5 if k[0] == "x" else h**-0.5, s).astype(np.float32) for k, s in shape.items()}
+        for d in "fb":
+            self.w["xz" + d] -= 1
+            self.w["xz" + d][0] = SHUT
+
+    def states(self, d: str, data: np.ndarray) -> np.ndarray:
+        """States after each byte; data has a row for each place, a column for each text."""
+        w, (width, n) = self.w, data.shape
+        kind = w["uz" + d].dtype
+        xz, xc, uz, uc = w["xz" + d] / 2, w["xc" + d], w["uz" + d] / 2, w["uc" + d]
+        out, s = np.empty((width, n, self.hidden), kind), np.zeros((n, self.hidden), kind)
+        z, c, rec = np.empty_like(s), np.empty_like(s), np.empty_like(s)
+        for t in range(width) if d == "f" else range(width - 1, -1, -1):
+            np.take(xz, data[t], axis=0, out=z)
+            np.take(xc, data[t], axis=0, out=c)
+            z += np.matmul(s, uz, out=rec)
+            c += np.matmul(s, uc, out=rec)
+            np.tanh(z, out=z)
+            np.tanh(c, out=c)
+            z *= 0.5
+            z += 0.5
+            c -= s
+            c *= z
+            s = np.add(s, c, out=out[t])
+        return out
+
+    def probabilities(self, data: np.ndarray) -> np.ndarray:
+        """(places, texts, labels)"""
+        w, ahead, back = self.w, self.states("f", data), self.states("b", data)
+        e = ahead.reshape(-1, self.hidden) @ w["outf"]
+        e += back.reshape(-1, self.hidden) @ w["outb"]
+        e += w["bias"]
+        np.exp(np.minimum(e, 60, out=e), out=e)
+        e /= e @ np.ones((len(self.labels), 1), e.dtype)
+        return e.reshape(*data.shape, -1)
+
+    def _back(self, grads: dict, d: str, data: np.ndarray, states: np.ndarray, given: np.ndarray) -> None:
+        w, (width, n) = self.w, data.shape
+        xz, xc, uz, uc = (w[k + d] for k in ("xz", "xc", "uz", "uc"))
+        carry, none = np.zeros_like(given[0]), np.zeros_like(given[0])
+        order = range(width - 1, -1, -1) if d == "f" else range(width)
+        for t in order:
+            before = t - 1 if d == "f" else t + 1
+            s = states[before] if 0 <= before < width else none
+            z = 1 / (1 + np.exp(-(xz[data[t]] + s @ uz)))
+            c = np.tanh(xc[data[t]] + s @ uc)
+            g = carry + given[t]
+            gz, gc = g * (c - s) * z * (1 - z), g * z * (1 - c * c)
+            carry = g * (1 - z) + gz @ uz.T + gc @ uc.T
+            grads["uz" + d] += s.T @ gz
+            grads["uc" + d] += s.T @ gc
+            seen = np.zeros((256, n), g.dtype)
+            seen[data[t], np.arange(n)] = 1
+            grads["xz" + d] += seen @ gz
+            grads["xc" + d] += seen @ gc
+        grads["xz" + d][0] = grads["xc" + d][0] = 0
+
+    def gradients(self, data: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
+        """Mean cross-entropy over the pooled bytes, and its gradients by backpropagation through time; target
+        has a label for each byte."""
+        w = self.w
+        states = {d: self.states(d, data) for d in "fb"}
+        logits = states["f"] @ w["outf"] + states["b"] @ w["outb"] + w["bias"]
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
-        return p, mask, both, kept_f, kept_b
-
-    def _layer_back(self, grads, states_grad, x_name, u_name, data, mask, saved):
-        u, h = self.w[u_name], self.hidden
-        dx, du = grads[x_name], grads[u_name]
-        carry = np.zeros_like(states_grad[0])
-        for t in range(data.shape[1] - 1, -1, -1):
-            state, z, r, gated, cand = saved[t]
-            d = (carry + states_grad[t]) * mask[:, t : t + 1]
-            dcand = d * z * (1 - cand * cand)
-            dz = d * (cand - state) * z * (1 - z)
-            dgated = dcand @ u[:, 2 * h :].T
-            dr = dgated * state * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            carry = d * (1 - z) + dgated * r + dzr @ u[:, : 2 * h].T
-            du[:, : 2 * h] += state.T @ dzr
-            du[:, 2 * h :] += gated.T @ dcand
-            np.add.at(dx, data[:, t], np.concatenate([dzr, dcand], axis=1))
-
-    def gradients(self, data, lengths, target) -> tuple[float, dict]:
-        """Mean cross-entropy over all bytes, and its gradients by backpropagation through time."""
-        p, mask, both, kept_f, kept_b = self.forward(data, lengths, keep=True)
-        n = mask.sum()
-        width, rows = p.shape[:2]
-        loss = -float((np.log(p[:, np.arange(rows), target] + 1e-9) * mask.T).sum() / n)
-        d = p.copy()
-        d[:, np.arange(rows), target] -= 1
-        d *= (mask.T / n)[:, :, None]
-        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        grads["out"] = np.tensordot(both, d, axes=([0, 1], [0, 1]))
-        grads["bias"] = d.sum(axis=(0, 1))[None, :]
-        dboth = d @ self.w["out"].T
-        h = self.hidden
-        self._layer_back(grads, dboth[:, :, :h], "xf", "uf", data, mask, kept_f)
-        self._layer_back(grads, dboth[::-1, :, h:], "xb", "ub", data[:, ::-1], mask[:, ::-1], kept_b)
+        mask = POOLED[data].astype(p.dtype)
+        total, at = max(1.0, float(mask.sum())), target[:, :, None]
+        loss = -float((np.log(np.take_along_axis(p, at, 2)[:, :, 0] + 1e-9) * mask).sum() / total)
+        np.put_along_axis(p, at, np.take_along_axis(p, at, 2) - 1, 2)
+        p *= (mask / total)[:, :, None]
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        grads["bias"] = p.sum(axis=(0, 1))[None, :]
+        for d in "fb":
+            grads["out" + d] = np.tensordot(states[d], p, axes=([0, 1], [0, 1]))
+            self._back(grads, d, data, states[d], p @ w["out" + d].T)
         return loss, grads
 
-    def fit(self, runs: list[bytes], target: np.ndarray, steps: int = 240, batch: int = 512, rate: float = 0.02, seed: int = 11) -> list[float]:
-        """Adam over random batches of runs."""
+    def fit(self, texts: list[list[np.ndarray]], steps: int = TRAIN_STEPS, rows: int = TRAIN_ROWS, rate: float = 0.03, seed: int = 11) -> list[float]:
+        """Adam over random stretches of texts[label], of 8 to TRAIN_BYTES bytes. Half of the rows go over from one
+        label's stretch to another's, and some bytes are replaced by ones that are of no letter, so that the state neither sticks
+        to its first label nor is led astray by signs that the sample lacks."""
         rng, losses = np.random.default_rng(seed), []
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
+        m = {k: np.zeros_like(x) for k, x in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
+        weights = [np.array([len(t) for t in own], float) for own in texts]
+        weights = [x / x.sum() for x in weights]
+        signs = np.flatnonzero(~POOLED)[1:].astype(np.uint8)
         for step in range(1, steps + 1):
-            take = rng.integers(0, len(runs), batch)
-            data, lengths = byte_matrix([runs[i] for i in take])
-            loss, grads = self.gradients(data, lengths, target[take])
+            data, target = np.zeros((TRAIN_BYTES, rows), np.uint8), np.zeros((TRAIN_BYTES, rows), np.int64)
+            for i in range(rows):
+                end, sizes = 0, rng.integers(8, TRAIN_BYTES + 1, 2) if i % 2 else rng.integers(8, TRAIN_BYTES // 2 + 1, 2)
+                for size in sizes[: 2 - i % 2]:
+                    label = int(rng.integers(0, len(texts)))
+                    own = texts[label][rng.choice(len(texts[label]), p=weights[label])]
+                    size = min(len(own), int(size))
+                    at = int(rng.integers(0, len(own) - size + 1))
+                    data[end : end + size, i] = own[at : at + size]
+                    target[end : end + size, i] = label
+                    end += size
+            noise = (rng.random(data.shape) < 0.03) & (data > 0) & (data < 128)
+            data[noise] = signs[rng.integers(0, len(signs), int(noise.sum()))]
+            loss, grads = self.gradients(data, target)
             losses.append(loss)
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.w[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                self.w[k] = (self.w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return losses
 
-    def run_sums(self, runs: list[bytes]) -> np.ndarray:
-        """For each run of at most MAX_RUN bytes: its bytes' probabilities, summed, and their number."""
-        out = np.zeros((len(runs), len(self.labels) + 1), np.float32)
-        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
-        for at in range(0, len(runs), 2048):
-            take = order[at : at + 2048]
-            data, lengths = byte_matrix([runs[i] for i in take])
-            p, mask, *_ = self.forward(data, lengths)
-            out[take, :-1] = (p * mask.T[:, :, None]).sum(axis=0)
-            out[take, -1] = lengths
-        return out
-
-
-def cut_run(run: str) -> list[bytes]:
-    data = run.encode("utf-8", "surrogatepass")
-    return [data[i : i + MAX_RUN] for i in range(0, len(data), MAX_RUN)]
-
-
-class Identifier:
-    """The network with the memo of runs."""
-
-    def __init__(self, net: ByteGru):
-        self.net, self.rows, self.at = net, {}, 0
-        self.sums = np.zeros((1024, len(net.labels) + 1), np.float32)
-
-    def _learn(self, runs: set[str]) -> None:
-        """Put the outcomes of new runs into the memo."""
-        new = list(runs)
-        pieces, owner = [], []
-        for i, run in enumerate(new):
-            for piece in cut_run(run):
-                pieces.append(piece)
-                owner.append(i)
-        sums = np.zeros((len(new), self.sums.shape[1]), np.float32)
-        np.add.at(sums, owner, self.net.run_sums(pieces))
-        end = self.at + len(new)
-        if end > len(self.sums):
-            self.sums = np.concatenate([self.sums[: self.at], np.zeros((max(end, self.at * 2) - self.at, sums.shape[1]), np.float32)])
-        self.sums[self.at : end] = sums
-        self.rows.update(zip(new, range(self.at, end)))
-        self.at = end
-
     def distributions(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The mean distribution over each text's bytes; None without a letter."""
-        if len(self.rows) > MEMO:
-            self.rows, self.at, self.sums = {}, 0, self.sums[:1024]
-        split = [voting(runs_of(t)) if t and LETTER.search(t) else None for t in texts]
-        rows = self.rows
-        missing = {r for runs in split if runs for r in runs if r not in rows}
-        if missing:
-            self._learn(missing)
-        out = []
-        for runs in split:
-            if not runs:
-                out.append(None)
-                continue
-            total = self.sums[np.fromiter(map(rows.__getitem__, runs), np.int64, len(runs))].sum(axis=0, dtype=np.float64)
-            out.append(total[:-1] / total[-1])
-        return out
+        """The mean distribution over the bytes of each text's letters; None without a letter."""
+        sums = np.zeros((len(texts), len(self.labels)))
+        counts = np.zeros(len(texts), np.int64)
+        held: list[tuple[int, np.ndarray, int, int]] = []
+
+        def flush():
+            held.sort(key=lambda x: -len(x[1]))
+            for at in range(0, len(held), ROWS):
+                some = held[at : at + ROWS]
+                data, mask = np.zeros((len(some), len(some[0][1])), np.uint8), np.zeros((len(some), len(some[0][1])), bool)
+                for i, (_, piece, a, b) in enumerate(some):
+                    data[i, : len(piece)] = piece
+                    mask[i, a:b] = POOLED[piece[a:b]]
+                p = self.probabilities(np.ascontiguousarray(data.T))
+                p *= mask.T[:, :, None]
+                np.add.at(sums, [x[0] for x in some], p.sum(axis=0, dtype=np.float64))
+                np.add.at(counts, [x[0] for x in some], mask.sum(axis=1))
+            held.clear()
+
+        for n, text in enumerate(texts):
+            if text and LETTER.search(text):
+                data = bytes_of(text)
+                for start, a, b, end in segments(data):
+                    held.append((n, data[start:end], a - start, b - start))
+                    if len(held) >= 4 * ROWS:
+                        flush()
+        if held:
+            flush()
+        return [sums[n] / counts[n] if counts[n] else None for n in range(len(texts))]
 
     def positions(self, text: str) -> list[str]:
-        """The label of every non-space byte of the lower-cased text."""
-        out = []
-        for run in runs_of(text):
-            for piece in cut_run(run):
-                p, *_ = self.net.forward(*byte_matrix([piece]))
-                out += [self.net.labels[i] for i in p[:, 0, :].argmax(axis=1)]
+        """The label of every byte of the lower-cased text."""
+        data, out = bytes_of(text), []
+        for start, a, b, end in segments(data) if len(data) else ():
+            p = self.probabilities(data[start:end, None])
+            out += [self.labels[i] for i in p[a - start : b - start, 0].argmax(axis=1)]
         return out
 
 
-_IDENTIFIERS: dict[bytes, Identifier] = {}
-
-
-def identifier(net: ByteGru) -> Identifier:
-    """The worker's own memo for this network."""
-    claim_memo("language", _IDENTIFIERS.clear)
-    key = net.w["out"].tobytes()
-    if key not in _IDENTIFIERS:
-        _IDENTIFIERS.clear()
-        _IDENTIFIERS[key] = Identifier(net)
-    return _IDENTIFIERS[key]
-
-
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, text) of a bounded sample of the labelled rows outside the held-out fold."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.xxhash64(F.col("doc_id"), F.lit(5))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    least = rows.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_DOCS)).alias("part")).agg(F.min(h).alias("h"))
-    chosen = least.select("lang", "h").collect()
-    if not chosen:
+    n = rows.select("lang").distinct().count()
+    if n > SAMPLE_ALL:
+        raise ValueError(f"{n} languages; the sample holds {SAMPLE_ALL} documents")
+    if not n:
         return []
-    known = docs.sparkSession.createDataFrame(chosen, "s_lang string, s_h long")
-    found = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), h.alias("h")).join(F.broadcast(known), (F.col("lang") == F.col("s_lang")) & (F.col("h") == F.col("s_h")), "left_semi")
-    return sorted((r.lang, r.text) for r in found.select("lang", "text").distinct().collect())
+    h = F.xxhash64(F.col("doc_id"), F.lit(5))
+    least = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(min(SAMPLE_DOCS, SAMPLE_ALL // n))).alias("part")).agg(F.min(h).alias("h"))
+    known = docs.sparkSession.createDataFrame(least.select("lang", "h").collect(), "s_lang string, s_h long")
+    begin = (F.pmod(h, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
+    found = rows.select("lang", F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), h.alias("h")).join(F.broadcast(known), (F.col("lang") == F.col("s_lang")) & (F.col("h") == F.col("s_h")), "left_semi")
+    picked = found.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat a doc_id
+    return sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
 
 
-def train(docs: DataFrame) -> ByteGru | None:
+def train(docs: DataFrame) -> ByteNet | None:
     """A network for the languages of docs; None if there is nothing to learn from."""
-    rng, by_lang = np.random.default_rng(3), {}
+    by_lang: dict[str, list[np.ndarray]] = {}
     for lang, text in sample(docs):
-        by_lang.setdefault(lang, []).extend(voting(runs_of(text)))
-    by_lang = {k: v for k, v in by_lang.items() if v}
+        if LETTER.search(text):
+            by_lang.setdefault(lang, []).append(bytes_of(text))
     if not by_lang:
         return None
     labels = sorted(by_lang)
-    runs, target = [], []
-    for i, lang in enumerate(labels):
-        own = by_lang[lang]
-        for j in rng.permutation(len(own))[:SAMPLE_RUNS]:
-            runs.append(cut_run(own[j])[0])
-            target.append(i)
-    net = ByteGru(labels)
-    net.fit(runs, np.array(target))
+    net = ByteNet(labels)
+    if len(labels) > 1:
+        net.fit([by_lang[x] for x in labels])
     return net
 
 
-def identify(docs: DataFrame, net: ByteGru | None) -> DataFrame:
+def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     if net is None:
@@ -276,16 +256,16 @@ def identify(docs: DataFrame, net: ByteGru | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        own = identifier(shared.value)
+        own = shared.value
         for batch in batches:
             labels, scores = [], []
             for p in own.distributions(batch.column(2).to_pylist()):
                 best = -1 if p is None else int(p.argmax())
-                labels.append("und" if p is None else own.net.labels[best])
+                labels.append("und" if p is None else own.labels[best])
                 scores.append(0.0 if p is None else min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return keyed.mapInArrow(task_memo(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return keyed.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label_documents(docs: DataFrame, least: float) -> DataFrame:
@@ -297,14 +277,14 @@ def label_documents(docs: DataFrame, least: float) -> DataFrame:
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
-        own = identifier(shared.value)
+        own = shared.value
         for batch in batches:
             found = own.distributions(batch.column(text_at).to_pylist())
             keep = [p is not None and bool(p.max() >= least) for p in found]
-            labels = [own.net.labels[int(p.argmax())] if k else None for p, k in zip(found, keep)]
-            yield batch.set_column(lang_at, "lang", pa.array(labels, pa.string())).filter(pa.array(keep))
+            labels = [own.labels[int(p.argmax())] if k else None for p, k in zip(found, keep)]
+            yield batch.set_column(lang_at, "lang", pa.array(labels, pa.string())).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(task_memo(run), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
