@@ -1,7 +1,8 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 1. Each whole text gives its set of word shingles, the set's size and digest, and a signature
-   of COORDINATES minimum hashes. Equal sets form a class; its least doc_id stands for it.
+   of COORDINATES minimum hashes. Equal sets form a class; its least doc_id stands for it, and
+   with it the one text of that doc_id (by hash) whose set it is.
 2. Representatives are posted under each coordinate-value pair. Two sets of similarity t agree
    in a coordinate with probability t; a pair counts if it agrees in MATCHES or more.
    Postings that nobody shares are skipped by a count by pair; who has fewer than MATCHES
@@ -21,9 +22,12 @@ With 32 coordinates and 17 matches, a pair at similarity 0.85 (0.8) is missed wi
 probability below 1e-5 (3e-4), and a component only if all its paths are; nothing else is lost.
 
 Defined results: a text that is null or has no words has the empty set and is linked with
-nothing, kept as its own component; a repeated doc_id is one node (its rows share a component)
-and each row gives a row; rows with a null doc_id are left out; an empty table gives no rows;
-extra columns are ignored.
+nothing, kept as its own component; a repeated doc_id is one node: its rows' sets all take part
+and its rows with words share a component, and each row gives a row; rows with a null doc_id are left
+out; an empty table gives no rows; extra columns are ignored.
+
+Where a doc_id stands for several classes, all but one of these go by a 64-bit hash of their digest
+instead; nothing else depends on hashes of fewer than 128 bits than what a text's own hash tells apart within a doc_id.
 """
 
 from __future__ import annotations
@@ -84,12 +88,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sig (32-bit minima, null for an empty set)."""
+    """doc_id, th (hash of the text), n_shingles, digest of the set, sig (32-bit minima) of each row."""
 
     def run(batches):
         claim_words()
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             sig = np.zeros((len(sets), COORDINATES), np.uint32)
@@ -101,10 +105,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             flat_sig = pa.array(sig.view(np.int32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), flat_sig)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(digests, pa.binary()), lists], ["doc_id", "th", "n_shingles", "digest", "sig"])
+
+    return _keyed(docs).mapInArrow(task_memo(run), "doc_id long, th long, n_shingles long, digest binary, sig array<int>")
+
 
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(task_memo(run), "doc_id long, n_shingles long, digest binary, sig array<int>")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _roots(n: int, linked) -> np.ndarray:
@@ -246,12 +253,15 @@ def _blocked(rows: DataFrame, key: str, size: str, payload: str) -> DataFrame:
     return one.unionAll(more).repartition("grp").sortWithinPartitions("grp", "doc_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: documents are linked if
-    den * |intersection| >= num * |union| of their sets of `width`-word shingles."""
-    sigs = written(signatures(docs, width), "signatures")
-    classes = written(sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(sigs.select("digest", "doc_id", "sig").join(classes, "digest").where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id"]), "representatives")
+def _links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """classes (digest, rep, th, node) and the confirmed links (a, b) between their nodes."""
+    classes = written(sigs.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("digest", "rep.*"), "classes")
+    several = written(classes.groupBy("doc_id").agg(F.min("digest").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), "one"), "several")
+    kept = classes.where(~sieve(several, "id")(F.col("doc_id"))).withColumn("node", F.col("doc_id"))
+    moved = classes.where(sieve(several, "id")(F.col("doc_id"))).join(several, classes.doc_id == several.id, "left").select(*(classes[c] for c in classes.columns), F.when(F.col("one").isNull() | (classes.digest == F.col("one")), classes.doc_id).otherwise(F.xxhash64(classes.digest)).alias("node"))
+    classes = written(kept.unionAll(moved).withColumnRenamed("doc_id", "rep"), "classes")
+    reps = sigs.select("digest", "doc_id", "th", "sig").join(classes.withColumnRenamed("th", "rep_th"), "digest").where("doc_id = rep and th = rep_th")
+    reps = written(reps.select(F.col("node").alias("doc_id"), "sig").dropDuplicates(["doc_id"]), "representatives")
 
     posted = reps.select("doc_id", F.posexplode("sig").alias("c", "v")).select("doc_id", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("post"))
     counts = written(posted.groupBy("post").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-posts")
@@ -262,13 +272,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     lists = _blocked(prefix.hint("merge").join(members, "doc_id"), "post", "n", "sig")
     clusters = written(components(lists.mapInArrow(_list_links, "a long, b long"), "candidates"), "clusters")
 
-    sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").withColumnRenamed("id", "doc_id")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(sieve(clusters, "id")(F.col("doc_id"))).join(sized.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    confirmed = _blocked(texts, "component", "n", "text").mapInArrow(task_memo(_cluster_links(width, num, den)), "a long, b long")
-    linked = components(confirmed, "links")
+    sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
+    asked = written(classes.where(sieve(clusters, "id")(F.col("node"))).join(sized.hint("merge"), F.col("node") == F.col("id")).select("rep", F.col("th").alias("rep_th"), "node", "component", "n"), "asked")
+    keyed = _keyed(docs).where(sieve(asked, "rep")(F.col("doc_id")))
+    texts = keyed.join(asked.hint("merge"), (keyed.doc_id == asked.rep) & (keyed.th == asked.rep_th)).select(F.col("node").alias("doc_id"), "component", "n", "text").dropDuplicates(["doc_id"])
+    return classes, _blocked(texts, "component", "n", "text").mapInArrow(task_memo(_cluster_links(width, num, den)), "a long, b long")
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with root: a number that the classes of a component share."""
+    ids = written(components(links, "links").select(F.col("id").alias("node"), F.col("component").alias("root")), "components")
+    return classes.join(ids, "node", "left").select("digest", "rep", "th", F.coalesce("root", "node").alias("root"))
 
-    ids = written(linked.withColumnRenamed("id", "rep").withColumnRenamed("component", "root"), "components")
-    member = classes.join(ids, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row: documents are linked if
+    den * |intersection| >= num * |union| of their sets of `width`-word shingles."""
+    sigs = written(signatures(docs, width), "signatures")
+    classes, links = _links(docs, sigs, width, num, den)
+    # the sets of one doc_id are one node
+    sets = sigs.where("n_shingles > 0").select("doc_id", "digest")
+    repeated = written(sets.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select(F.col("doc_id").alias("id")), "repeated")
+    own = sets.where(sieve(repeated, "id")(F.col("doc_id"))).join(repeated, F.col("doc_id") == F.col("id"), "left_semi").join(classes.select("digest", "node"), "digest")
+    first = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+    links = links.unionAll(own.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    labelled = written(_labelled(classes, links), "labelled")
+    least = labelled.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "component")
+    member = labelled.join(least, "root", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     found = sigs.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def unlike_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The doc_id and text hash (id, th) of the row to keep of each component of linked texts, whatever
+    ids their rows repeat, and of every row without words; rows with a null doc_id are left out."""
+    sigs = written(signatures(docs, width), "signatures")
+    labelled = _labelled(*_links(docs, sigs, width, num, den))
+    best = labelled.groupBy("root").agg(F.min(F.struct("rep", "th")).alias("best")).select(F.col("best.rep").alias("id"), F.col("best.th").alias("th"))
+    return best.unionAll(sigs.where("n_shingles = 0").select("doc_id", "th").distinct())

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -5,7 +6,7 @@ import pytest
 
 from lattica.llm import neardup
 
-from .tables import clashing, documents, frame
+from .tables import clashing, documents, frame, words
 
 
 def brute(rows, width, num, den):
@@ -16,20 +17,20 @@ def brute(rows, width, num, den):
             return frozenset()
         return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
-    sets = {r[0]: shingles(r[1]) for r in rows}
-    root = {d: d for d in sets}
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    root = {d: d for d, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in combinations(sorted(sets), 2):
-        inter = len(sets[a] & sets[b])
-        if inter and den * inter >= num * len(sets[a] | sets[b]):
+    for (a, x), (b, y) in combinations(sets, 2):
+        inter = len(x & y)
+        if a != b and inter and den * inter >= num * len(x | y):
             ra, rb = find(a), find(b)
             root[max(ra, rb)] = min(ra, rb)
-    return {(d, len(sets[d]), find(d), find(d) == d) for d in sets}
+    return {(d, len(s), find(d) if s else d, find(d) == d or not s) for d, s in sets}
 
 
 def answer(df):
@@ -57,6 +58,21 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(map(tuple, got)) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(2)
+    a, b, c = (words(rng, 120) for _ in range(3))
+    near = lambda w: " ".join([*w[:60], "other", *w[61:]])
+    a_, b_, c_ = (" ".join(w) for w in (a, b, c))
+    for texts in ([(1, a_), (1, b_), (2, near(a)), (3, near(b))], [(7, a_), (7, b_), (3, b_)], [(7, a_), (7, b_), (7, ""), (8, near(b)), (9, c_), (9, near(c)), (9, None), (5, c_), (6, near(a))]):
+        rows = [(d, t, None, None, None) for d, t in texts]
+        assert answer(neardup.near_duplicates(frame(spark, rows), 3, 85, 100)) == brute(rows, 3, 85, 100)
+    rows = [(d, t, None, None, None) for d, t in [(7, a_), (7, a_), (7, b_), (7, near(b)), (8, near(a)), (9, c_), (9, "")]]
+    keep = neardup.unlike_rows(frame(spark, rows), 5, 80, 100).collect()
+    hashes = {r.h: r.text for r in frame(spark, rows).selectExpr("text", "xxhash64(text) as h").collect()}
+    got = sorted((r.id, hashes[r.th]) for r in keep)
+    assert [d for d, _ in got] == [7, 7, 9, 9] and (7, a_) in got and sum(t in (b_, near(b)) for _, t in got) == 1
+
+
 def test_driver_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
