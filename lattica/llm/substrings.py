@@ -2,7 +2,7 @@
 
 1. A gear rolling hash over the last 32 bytes cuts each text where its value is the least within
    RADIUS bytes on either side. That depends on the surroundings alone, so two texts that share
-   a passage cut it at the same places, but for 48 bytes at its front and 16 at its end, wherever it stands in either.
+   a passage cut it at the same places, but for 64 bytes at its front and 32 at its end, wherever it stands in either.
 2. Chunks are deduplicated by a 64-bit digest over all texts: one that stands in two different texts is shared.
    Counts are summed before the exchange, so a chunk that a third of all documents hold is no burden.
 3. Neighbouring shared chunks, with the unshared one and some bytes on either side, are a text's
@@ -14,8 +14,8 @@
    and overlapping ones join into passages.
 
 So a sequence of MIN_WORDS words or more that two documents share is found if the chunks within it hold
-SEED_WORDS words (of 50, about 26 are in whole chunks of 33 bytes; MOST ends one where the hash has no
-least value, as in "aaaa"), and no passage is reported that is not, but for its overlaps, made of repeated sequences of WINDOW_WORDS words.
+SEED_WORDS words (chunks are of 64 bytes on average; of passages of 51 words of European languages, about 280
+bytes, 0.7 % hold fewer; MOST ends a chunk where the hash has no least value, as in "aaaa"), and no passage is reported that is not, but for its overlaps, made of repeated sequences of WINDOW_WORDS words.
 Words are what stands between white space (`[\\x20\\x09-\\x0D]`), of any kind and number; hashes
 are of 64 bits. Repeats within one document don't count.
 
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RADIUS, MOST, WINDOW, MARGIN = 16, 192, 32, 64
-WINDOW_WORDS, PICK, SEED_WORDS = 42, 9, 8
+RADIUS, MOST, WINDOW, MARGIN = 32, 256, 32, 64
+WINDOW_WORDS, PICK, SEED_WORDS = 42, 9, 6
 MIN_WORDS = WINDOW_WORDS + PICK - 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -67,7 +67,7 @@ def gear_hashes(data: bytes) -> np.ndarray:
 
 
 def _before(h: np.ndarray) -> np.ndarray:
-    """The least of the RADIUS values before each place, by doubling; the greatest number where there are fewer."""
+    """The least of the RADIUS (a power of 2) values before each place, by doubling; the greatest number where there are fewer."""
     worst = np.uint64(1 << 32)
     low = np.concatenate([np.full(1, worst), h[:-1].astype(np.uint64)])
     step = 1
