@@ -38,15 +38,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with
-    the least doc_id stays; rows with a null doc_id and texts without words stay."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row of the least doc_id
+    stays, equal rows once; rows that repeat a doc_id with unlike texts are not each other's copies. Rows with a null
+    doc_id and texts without words stay."""
     prepare(spark)
     docs = _documents(docs)
-    dropped = written(neardup.near_duplicates(docs, 5, 80, 100).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    repeated = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "repeated")
-    once = docs.where(sieve(repeated, "id")(F.col("doc_id"))).join(repeated, docs.doc_id == repeated.id, "left_semi")
-    once = once.join(dropped, once.doc_id == dropped.id, "left_anti").dropDuplicates(["doc_id"])
-    return _without(docs, written(dropped.unionAll(repeated).distinct(), "gone")).unionAll(once)
+    keep = written(neardup.unlike_rows(docs, 5, 80, 100).withColumn("stays", F.lit(True)), "kept")
+    counted = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).agg(F.count(F.lit(1)).alias("n"))
+    touched = counted.join(keep, ["id", "th"], "left").where("stays is null or n > 1").select("id", "th", F.coalesce("stays", F.lit(False)).alias("stays"), F.xxhash64("id", "th").alias("k"))
+    touched = written(touched, "touched")
+    hit = F.coalesce(sieve(touched, "k")(F.xxhash64("doc_id", F.xxhash64("text"))), F.lit(False))
+    met = docs.where(hit).join(touched, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("th")), "left")
+    once = met.where("stays").dropDuplicates(["doc_id", "th"])
+    return docs.where(~hit).unionAll(met.where("id is null").select(*docs.columns)).unionAll(once.select(*docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
