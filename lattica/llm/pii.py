@@ -6,7 +6,7 @@ tells of it: over all documents, PMI(entity; term) = log2(N * both / (docs with
 (docs with term + 1))) is compared with the entity's own information log2(N / docs with entity).
 From GENERALISE of it on, the term is generalised to a placeholder wherever it stands in a document
 that holds the entity; from REMOVE on it is removed. `both` counts documents that have both, in
-any place, and no support is asked for: an entity of one document is the rule. The one added to a
+any place, and no support is asked for: an entity of one document is the rule. Every row is a document. The one added to a
 term's documents is its smoothing, so that a term of few documents proves less than one of many.
 Documents without the entity stay as they are.
 
@@ -15,8 +15,7 @@ at most BROADCAST, workers get them by broadcast and count only them; beyond tha
 counts are exchanged and joined.
 
 Defined results: a null text is the empty one, without spans and sanitised to itself; rows may
-repeat (a repeated doc_id counts as one document in the statistics); a null doc_id counts as one
-document; an empty table gives no rows; extra columns are ignored.
+repeat, and each counts as a document in the statistics, also with a null doc_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +119,7 @@ def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, entity, term (null: the entity itself), each once a row of docs."""
+    """doc_id, entity, term (null: the entity itself) for each row of docs, each once."""
 
     def run(batches):
         for batch in batches:
@@ -156,7 +155,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame) -> DataFrame:
     """entity, term, ratio: terms whose PMI with the entity is at least GENERALISE of its information."""
-    found = written(contexts(docs), "contexts").distinct()
+    found = written(contexts(docs), "contexts")
     entities = found.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     both = found.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(both.join(entities, "entity"), "pairs")

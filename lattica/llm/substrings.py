@@ -4,7 +4,8 @@
    RADIUS bytes on either side. That depends on the surroundings alone, so two texts that share
    a passage cut it at the same places, but for 64 bytes at its front and 32 at its end, wherever it stands in either.
 2. Chunks are deduplicated by a 64-bit digest over all texts: one that stands in two different texts is shared.
-   Counts are summed before the exchange, so a chunk that a third of all documents hold is no burden.
+   Counts are summed before the exchange, and very frequent chunks are joined by broadcast (`join_counted`), so a chunk
+   that a third of all documents hold is no burden.
 3. Neighbouring shared chunks, with the unshared one and some bytes on either side, are a text's
    regions; they cover whatever repeats in them. Texts with a region of SEED_WORDS words in shared
    chunks come together with it once, equal texts by one of them.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 RADIUS, MOST, WINDOW, MARGIN = 32, 256, 32, 64
 WINDOW_WORDS, PICK, SEED_WORDS = 42, 9, 6
@@ -232,8 +233,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     to remove, and the documents that hold the first occurrences."""
     keyed = _keyed(docs)
     cut = written(chunks(keyed), "chunks")
-    shared = cut.groupBy("digest").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("digest")
-    held = cut.join(shared, "digest").select("part", "start", "size", "words").distinct()
+    shared = written(cut.groupBy("digest").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("digest", "n"), "shared")
+    held = join_counted(cut, shared, "digest").select("part", "start", "size", "words").distinct()
     found = held.groupBy("part").agg(F.collect_list(F.struct("start", "size", "words")).alias("found"))
 
     def spans_in(batches):
@@ -249,8 +250,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = regions.join(texts.select("part", "first"), "part")
     one = keyed.join(asked, (keyed.part == asked.part) & (keyed.doc_id == asked["first"])).select(keyed.part, "first", "text", "spans").dropDuplicates(["part"])
     taken = written(windows(one), "windows")
-    repeats = taken.groupBy("key").agg(F.min("first").alias("earliest"), F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key", "earliest")
-    passages = taken.join(repeats, "key").groupBy("part", "first").agg(F.collect_list(F.struct("lo", "hi", "earliest")).alias("found")).mapInArrow(_passages, f"part long, spans {SPANS}, later {SPANS}, firsts array<long>")
+    repeats = written(taken.groupBy("key").agg(F.min("first").alias("earliest"), F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "earliest", "n"), "repeats")
+    passages = join_counted(taken, repeats, "key").groupBy("part", "first").agg(F.collect_list(F.struct("lo", "hi", "earliest")).alias("found")).mapInArrow(_passages, f"part long, spans {SPANS}, later {SPANS}, firsts array<long>")
 
     whole = lambda test: F.when(test, F.expr("array(named_struct('lo', 0, 'hi', cast(size as int)))"))
     copied = F.col("long") & (F.col("first") < F.col("last"))

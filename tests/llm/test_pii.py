@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -75,6 +76,46 @@ def test_disclosing_terms(spark, monkeypatch):
                 assert r.clean_text == rows[i][1]
 
 
+def test_disclosures_against_plain_counts(spark, monkeypatch):
+    """PMI and spans from plain counts over all rows; the last row repeats and its copies have no id."""
+    rng = random.Random(8)
+    pool = [f"{a}{b}" for a in ("al", "be", "ga", "de", "om") for b in ("pha", "ta", "mma", "lta", "ega", "x")]
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.choice(pool[: rng.choice((6, 30))]) for _ in range(rng.randint(5, 60)))
+        if i % 3 == 0:
+            k = rng.randrange(12)
+            text += f" u{k}@x.org Nq{chr(97 + k)} +4930{rng.randrange(3)}123456 " + rng.choice(pool)
+        rows.append((i, text, None, None, None))
+    rows += [(None, rows[0][1], None, None, None)] * 54
+    texts = [r[1] for r in rows]
+    docs, has = [], {}
+    for t in texts:
+        spans = plain(t)
+        docs.append({m.group().lower() for m in re.finditer(r"[^\W\d_]+", t) if not any(a < m.end() and m.start() < b for a, _, b in spans)})
+    for n, t in enumerate(texts):
+        for a, k, b in plain(t):
+            has.setdefault((k, t[a:b]), set()).add(n)
+    every = [{w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts]
+    n, want = len(texts), {}
+    for (kind, value), own in has.items():
+        for term in {w for i in own for w in docs[i]}:
+            both, with_term = sum(term in docs[i] for i in own), sum(term in w for w in every)
+            ratio = math.log2(n * both / (len(own) * (with_term + 1))) / math.log2(n / len(own))
+            if ratio >= pii.GENERALISE:
+                want[pii.entity_key(kind, value), term] = ratio
+    for limit in (pii.BROADCAST, 0):
+        monkeypatch.setattr(pii, "BROADCAST", limit)
+        got = {(r.entity, r.term): r.ratio for r in pii.disclosures(frame(spark, rows)).collect()}
+        assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        for r in pii.find_personal_data(frame(spark, rows)).collect():
+            text = next(t for i, t, *_ in rows if i == r.doc_id)
+            spans = plain(text)
+            keys = {pii.entity_key(k, text[a:b]) for a, k, b in spans}
+            terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", text) if any((k, m.group().lower()) in want for k in keys) and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+            assert {s for s in r.spans.split(",") if s.startswith("term")} == set(terms)
+
+
 def test_terms_of_an_entity_of_one_document(spark, monkeypatch):
     """Whatever the distance and the length; words that others use as well stay."""
     rng = random.Random(3)

@@ -1,6 +1,6 @@
 import random
 
-from lattica.llm import substrings
+from lattica.llm import common, substrings
 
 from .tables import clashing, documents, frame, words
 
@@ -82,6 +82,17 @@ def test_against_all_repeated_sequences(spark):
             assert bool(r.removed) == any(f < d for f in r.first_docs) and (r.removed_bytes > 0) == bool(r.removed)
 
 
+def test_frequent_chunks_by_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = " ".join(words(rng, 70))
+    rows = [(i, " ".join(words(rng, 40)) + (" " + passage if i % 3 == 0 else "") + " " + " ".join(words(rng, 30)), None, None, None) for i in range(90)]
+    want = sorted(substrings.repeated_passages(frame(spark, rows)).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 500)
+    assert sorted(substrings.repeated_passages(frame(spark, rows)).collect()) == want
+    assert sum(r.n_passages for r in want) == 30
+
+
 def test_white_space_is_no_word(spark):
     rng = random.Random(4)
     blank, shared = " " * 600, "\t".join(words(rng, 80))
