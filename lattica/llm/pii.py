@@ -10,9 +10,10 @@ any place, and no support is asked for: an entity of one document is the rule. E
 term's documents is its smoothing, so that a term of few documents proves less than one of many.
 Documents without the entity stay as they are.
 
-Term counts cover the whole corpus. Where the terms in question (or the disclosing pairs) are
-at most BROADCAST, workers get them by broadcast and count only them; beyond that, all words'
-counts are exchanged and joined.
+Term counts cover the whole corpus. Only terms of documents with entities are in question; workers get a
+bit set of fixed size of these terms' hashes, which thins what they count and changes no result. Counts go by
+the terms' 64-bit hashes, summed by task before the exchange. What a text's terms disclose is joined to
+the texts that hold an entity, by the text's hash; all others stay where they are.
 
 Defined results: a null text is the empty one, without spans and sanitised to itself; rows may
 repeat, and each counts as a document in the statistics, also with a null doc_id; an empty table gives no rows; extra columns are ignored.
@@ -24,12 +25,13 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, sieve, written
 
 #: The kinds in order, and their patterns. A digit before an address can't start
 #: another match, so the look-behind changes no result; it spares long digit runs a second look.
@@ -43,7 +45,10 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-GENERALISE, REMOVE, BROADCAST = 0.8, 0.95, 200_000
+GENERALISE, REMOVE = 0.8, 0.95
+#: Bits of the set of terms in question (2 MB), and terms that a task counts before it hands them on.
+TERM_BITS, MOST_TERMS = 24, 300_000
+REVEALS = "array<struct<entity:bigint,term:bigint,ratio:double>>"
 
 
 def luhn(digits: str) -> bool:
@@ -105,6 +110,10 @@ def entity_key(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
+def term_key(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, lower-cased term) of all words outside of all spans, which are sorted by start."""
     out, i, reach = [], 0, 0
@@ -119,51 +128,75 @@ def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, entity, term (null: the entity itself) for each row of docs, each once."""
+    """text_key, entity, term (hash; null: the entity itself) for each row of docs, each once."""
 
     def run(batches):
+        keys: dict[str, int] = {}
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            columns: tuple[list, list, list] = ([], [], [])
+            for text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text)
-                if spans:
-                    terms = {term for _, _, term in free_terms(text, spans)}
-                    out += [(doc_id, k, t) for k in {entity_key(s[1], text[s[0] : s[2]]) for s in spans} for t in (None, *terms)]
-            columns = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "entity", "term"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, entity long, term string")
+                if not spans:
+                    continue
+                terms: list = [None]
+                for term in {term for _, _, term in free_terms(text, spans)}:
+                    if term not in keys:
+                        if len(keys) >= MOST_TERMS:
+                            keys.clear()
+                        keys[term] = term_key(term)
+                    terms.append(keys[term])
+                for k in {entity_key(s[1], text[s[0] : s[2]]) for s in spans}:
+                    columns[0].extend([text_key] * len(terms))
+                    columns[1].extend([k] * len(terms))
+                    columns[2].extend(terms)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["text_key", "entity", "term"])
+
+    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "text_key long, entity long, term long")
+
+
+def _term_set(terms: DataFrame) -> np.ndarray:
+    """The bit set of terms' hashes, put together from its words' parts."""
+    at, bit = f"cast(shiftright(pmod(term, {1 << TERM_BITS}), 5) as int)", "shiftleft(cast(1 as bigint), cast(pmod(term, 32) as int))"
+    words = terms.select(F.expr(at).alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    found, out = words.toArrow(), np.zeros(1 << (TERM_BITS - 5), np.uint32)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, docs: in how many rows of docs each term occurs."""
-    few = terms.limit(BROADCAST + 1).count() <= BROADCAST
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if few else None
+    """term, docs: in how many rows of docs each term occurs; of terms in question, and of some others."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_term_set(terms))
+
+    def counted(count: Counter) -> pa.RecordBatch:
+        keys = np.fromiter(map(term_key, count), np.int64, len(count))
+        n = np.fromiter(count.values(), np.int64, len(count))
+        place = keys & ((1 << TERM_BITS) - 1)
+        on = (wanted.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+        return pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(n[on])], ["term", "n"])
 
     def run(batches):
+        count: Counter = Counter()
         for batch in batches:
-            count: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    words = {w.lower() for w in set(WORD.findall(text))}
-                    count.update(known.value & words if known else words)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+                    count.update({w.lower() for w in set(WORD.findall(text))})
+                    if len(count) >= MOST_TERMS:
+                        yield counted(count)
+                        count.clear()
+        if count:
+            yield counted(count)
 
-    counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
-    return counted if few else counted.join(terms, "term", "left_semi")
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("docs"))
 
 
-def disclosures(docs: DataFrame) -> DataFrame:
-    """entity, term, ratio: terms whose PMI with the entity is at least GENERALISE of its information."""
-    found = written(contexts(docs), "contexts")
+def disclosures(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """entity, term (hash), ratio: terms whose PMI with the entity is at least GENERALISE of its information."""
+    found = written(contexts(docs), "contexts") if found is None else found
     entities = found.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     both = found.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(both.join(entities, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
-    if terms.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
     n = docs.count()
-    counted = pairs.join(term_documents(docs, terms), "term")
+    counted = pairs.join(term_documents(docs, pairs.select("term")), "term")
     pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * (F.col("docs") + 1)))
     own = F.log2(F.lit(float(n)) / F.col("n_entity"))
     ratio = F.when(own > 0, pmi / own).otherwise(0.0)
@@ -171,15 +204,15 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 
 def found_in(text: str, known) -> list[tuple[int, int, int, float]]:
-    """All spans of text (start, kind number, end, ratio); kind 4 is a disclosing term. known(entity) gives {term: ratio}."""
+    """All spans of text (start, kind number, end, ratio); kind 4 is a disclosing term. known(entity) gives {term hash: ratio}."""
     spans = base_spans(text)
     if not spans:
         return []
-    reveals: dict[str, float] = {}
+    reveals: dict[int, float] = {}
     for key in {entity_key(k, text[a:b]) for a, k, b in spans}:
         for term, ratio in (known(key) or {}).items():
             reveals[term] = max(reveals.get(term, 0.0), ratio)
-    terms = [(a, 4, b, reveals[t]) for a, b, t in free_terms(text, spans) if t in reveals] if reveals else []
+    terms = [(a, 4, b, reveals[key]) for a, b, t in free_terms(text, spans) if (key := term_key(t)) in reveals] if reveals else []
     return sorted([(a, k, b, 1.0) for a, k, b in spans] + terms)
 
 
@@ -196,23 +229,22 @@ def sanitised(text: str, spans: list[tuple[int, int, int, float]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _with_known(docs: DataFrame, reveals: DataFrame | None) -> tuple[DataFrame, object]:
-    """docs with a last column `reveals`, and the broadcast disclosures; one of the two is null."""
-    reveals = disclosures(docs) if reveals is None else reveals
-    spark = docs.sparkSession
-    if reveals.limit(BROADCAST + 1).count() <= BROADCAST:
-        table: dict[int, dict[str, float]] = {}
-        for r in reveals.collect():
-            table.setdefault(r.entity, {})[r.term] = r.ratio
-        return docs.select("*", F.lit(None).cast("array<struct<entity:bigint,term:string,ratio:double>>").alias("reveals")), spark.sparkContext.broadcast(table)
-    per_doc = contexts(docs).where("term is not null").join(reveals, ["entity", "term"]).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("entity", "term", "ratio")).alias("reveals"))
-    return docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["id"]), "left").select(*docs.columns, "reveals"), None
-
-
-def _lookup(known, own):
-    if known:
-        return known.value.get
-    mine: dict[int, dict[str, float]] = {}
+def _with_known(docs: DataFrame, reveals: DataFrame | None) -> DataFrame:
+    """docs with a last column `reveals`: what the terms of its text disclose of the text's entities."""
+    found = written(contexts(docs), "contexts")
+    reveals = disclosures(docs, found) if reveals is None else reveals
+    per_text = found.where("term is not null").join(reveals, ["entity", "term"]).groupBy("text_key").agg(F.collect_set(F.struct("entity", "term", "ratio")).alias("reveals"))
+    rows = found.where("term is null").groupBy("text_key", "entity").agg(F.count(F.lit(1)).alias("n")).groupBy("text_key").agg(F.max("n").alias("n"))
+    known = written(per_text.join(rows, "text_key").select(F.col("text_key").alias("text_key__"), "n", "reveals"), "known-texts")
+    hit = F.coalesce(sieve(known, "text_key__")(F.xxhash64("text")), F.lit(False))
+    none = F.lit(None).cast(REVEALS).alias("reveals")
+    met = docs.where(hit).withColumn("text_key__", F.xxhash64("text"))
+    out = [docs.where(~hit).select("*", none), join_counted(met, known, "text_key__").select(*docs.columns, "reveals"), met.join(known, "text_key__", "left_anti").select(*docs.columns, none)]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def _lookup(own):
+    mine: dict[int, dict[int, float]] = {}
     for r in own or ():
         mine.setdefault(r["entity"], {})[r["term"]] = r["ratio"]
     return mine.get
@@ -222,13 +254,13 @@ def sanitise(docs: DataFrame, reveals: DataFrame | None = None) -> DataFrame:
     """docs' rows with n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text added.
 
     reveals: disclosures of another corpus; None takes those of docs."""
-    rows, known = _with_known(docs.select("doc_id", "text"), reveals)
+    rows = _with_known(docs.select("doc_id", "text"), reveals)
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                spans = found_in(text, _lookup(known, own)) if text else []
+                spans = found_in(text, _lookup(own)) if text else []
                 base = [s[:3] for s in spans if s[1] < 4]
                 count = Counter(s[1] for s in base)
                 out.append((count[0], count[1], count[2], count[3], hashlib.sha256(joined(base).encode()).hexdigest(), joined([s[:3] for s in spans]), sanitised(text, spans) if spans else text))
@@ -241,14 +273,14 @@ def sanitise(docs: DataFrame, reveals: DataFrame | None = None) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs with sanitised texts and n_chars to match; all else as it was."""
-    rows, known = _with_known(docs, None)
+    rows = _with_known(docs, None)
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def run(batches):
         for batch in batches:
             texts, counts = batch.column(text_at).to_pylist(), batch.column(chars_at).to_pylist()
             for i, own in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                spans = found_in(texts[i], _lookup(known, own)) if texts[i] else []
+                spans = found_in(texts[i], _lookup(own)) if texts[i] else []
                 if spans:
                     texts[i] = sanitised(texts[i], spans)
                     counts[i] = len(texts[i])

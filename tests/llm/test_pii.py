@@ -64,10 +64,10 @@ def test_disclosing_terms(spark, monkeypatch):
         else:
             rows.append((i, noise + (" keeper" if i % 2 else ""), None, None, None))
     df = frame(spark, rows)
-    for limit in (pii.BROADCAST, 0):  # by broadcast, and by joins
-        monkeypatch.setattr(pii, "BROADCAST", limit)
+    for bits in (pii.TERM_BITS, 5):  # a set that thins, and one that lets all pass
+        monkeypatch.setattr(pii, "TERM_BITS", bits)
         got = {r.doc_id: r for r in pii.sanitise(df).collect()}
-        assert {r.term for r in pii.disclosures(df).collect()} == {"lighthouse"}
+        assert {r.term for r in pii.disclosures(df).collect()} == {pii.term_key("lighthouse")}
         for i, r in got.items():
             assert ("term" in r.spans) == (i % 10 == 0)
             if i % 10 == 0:
@@ -103,16 +103,16 @@ def test_disclosures_against_plain_counts(spark, monkeypatch):
             both, with_term = sum(term in docs[i] for i in own), sum(term in w for w in every)
             ratio = math.log2(n * both / (len(own) * (with_term + 1))) / math.log2(n / len(own))
             if ratio >= pii.GENERALISE:
-                want[pii.entity_key(kind, value), term] = ratio
-    for limit in (pii.BROADCAST, 0):
-        monkeypatch.setattr(pii, "BROADCAST", limit)
+                want[pii.entity_key(kind, value), pii.term_key(term)] = ratio
+    for most in (pii.MOST_TERMS, 3):
+        monkeypatch.setattr(pii, "MOST_TERMS", most)
         got = {(r.entity, r.term): r.ratio for r in pii.disclosures(frame(spark, rows)).collect()}
         assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         for r in pii.find_personal_data(frame(spark, rows)).collect():
             text = next(t for i, t, *_ in rows if i == r.doc_id)
             spans = plain(text)
             keys = {pii.entity_key(k, text[a:b]) for a, k, b in spans}
-            terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", text) if any((k, m.group().lower()) in want for k in keys) and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+            terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", text) if any((k, pii.term_key(m.group().lower())) in want for k in keys) and not any(a < m.end() and m.start() < b for a, _, b in spans)]
             assert {s for s in r.spans.split(",") if s.startswith("term")} == set(terms)
 
 
@@ -123,8 +123,8 @@ def test_terms_of_an_entity_of_one_document(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(filler) for _ in range(120)), None, None, None) for i in range(2000)]
     plain7 = rows[7][1]
     rows[7] = (7, f"Xu Quillfeather {plain7} xu@home.org {plain7} quillfeather", None, None, None)
-    for limit in (pii.BROADCAST, 0):
-        monkeypatch.setattr(pii, "BROADCAST", limit)
+    for most in (pii.MOST_TERMS, 3):
+        monkeypatch.setattr(pii, "MOST_TERMS", most)
         got = {r.doc_id: r for r in pii.sanitise(frame(spark, rows)).collect()}
         assert got[7].clean_text == f"[TERM] [TERM] {plain7} [EMAIL] {plain7} [TERM]"
         assert all(got[i].clean_text == rows[i][1] for i in got if i != 7)
