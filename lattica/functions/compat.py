@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.store import Store
+
 
 def field(value: Column, *options) -> Column:
     """The place of the first option equal to value, from 1; 0 if there is none or value is null."""
@@ -71,3 +73,16 @@ def parse_url_tuple(url: Column, *parts: str) -> list[Column]:
 def tagged_union(tag: Column, *options: Column) -> Column:
     """A value of one of several types: a struct with the tag and the chosen option set."""
     return F.struct(tag.alias("tag"), *(F.when(tag == i, o).alias(f"option{i}") for i, o in enumerate(options)))
+
+
+def with_index(df: DataFrame, *by: str) -> DataFrame:
+    """df with its rows' places, from 0, in an order. Ranges of the order are numbered apart, and shifted by what
+    lies before them: no range needs the others' rows, and only the ranges' sizes come together."""
+    store = Store(df.sparkSession, "index")
+    parts = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    dealt = store.written(df.repartitionByRange(parts, *by).withColumn("range__", F.spark_partition_id()))
+    sizes = dealt.groupBy("range__").agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(sizes.select("range__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("first__")))
+    at = F.row_number().over(Window.partitionBy("range__").orderBy(*by)) - 1 + F.col("first__")
+    return dealt.join(first, "range__").select(*df.columns, at.cast("long").alias("at"))

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.fixpoint import MAX_ITERATIONS, best_fixpoint, set_fixpoint, sum_fixpoint
+from lattica.operators.components import least_in_component
+from lattica.operators.fixpoint import MAX_ITERATIONS, NoFixpoint, best_fixpoint, set_fixpoint, sum_fixpoint
 from lattica.store import Store
 
 
-def _edges(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """The different edges under fixed names."""
+def _edges(edges: DataFrame, weighted: bool = False, key: str = "src") -> DataFrame:
+    """The different edges under fixed names, written once by the end on which rounds join them."""
     a, b, *rest = edges.columns
     cols = [F.col(a).alias("src"), F.col(b).alias("dst")]
     if weighted:
         cols.append(F.col(rest[0]).alias("w"))
-    return edges.select(*cols).distinct()
+    return Store(edges.sparkSession, "edges").base(edges.select(*cols).distinct(), key)
 
 
 def transitive_closure(edges: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
@@ -63,7 +65,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def shortest_path_tree(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node, cost, via): shortest_paths with the node before on the path that won."""
+    """(node, cost, via): shortest_paths with the node before on the path that won, the least of several."""
     e = _edges(edges, True)
     kind = dict(e.dtypes)
     first = starts.toDF("node").select("node", F.lit(0).cast(kind["w"]).alias("cost"), F.lit(None).cast(kind["src"]).alias("via"))
@@ -79,7 +81,7 @@ def all_shortest_paths(edges: DataFrame) -> DataFrame:
 
 def landmark_distances(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(node, landmark, hops): hops from a node to each landmark along the edges."""
-    e = _edges(edges)
+    e = _edges(edges, key="dst")
     first = landmarks.toDF("node").select("node", F.col("node").alias("landmark"), F.lit(0).alias("hops"))
     return best_fixpoint(first, lambda d: d.join(e, d.node == e.dst).select(F.col("src").alias("node"), "landmark", (F.col("hops") + 1).alias("hops")), "min", "hops")
 
@@ -93,20 +95,45 @@ def label_components(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of its component, edges taken both ways."""
-    e = _edges(edges)
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    first = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    return best_fixpoint(first, lambda d: d.join(both, d.node == both.src).select(F.col("dst").alias("node"), "component"), "min", "component")
+    a, b, *_ = edges.columns
+    return least_in_component(edges.select(a, b))
 
 
-def strongly_connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that a node reaches and is reached by; alone, itself."""
+def strongly_connected_components(edges: DataFrame, max_rounds: int = MAX_ITERATIONS) -> DataFrame:
+    """(node, component): the least node that a node reaches and is reached by; alone, itself.
+
+    Rounds over what is left: nodes without edges in or out are alone; every other node takes the least node
+    that reaches it as its colour, and the nodes of a colour that reach the node it is named after, within the colour, are that
+    node's component. No more than the nodes and edges is held, never the closure."""
     e = _edges(edges)
-    tc = Store(e.sparkSession, "scc").written(transitive_closure_doubling(e))
-    back = tc.select(F.col("dst").alias("s"), F.col("src").alias("d"))
-    mutual = tc.join(back, (tc.src == back.s) & (tc.dst == back.d)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return nodes.join(mutual, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+    store = Store(e.sparkSession, "scc")
+    nodes = store.written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    left, done = store.written(e.where("src <> dst")), []
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        before, now = None, store.count(store.passing[-1])
+        while before != now:  # edges at nodes without a way in or out lie on no cycle
+            before = now
+            left = store.written(left.join(left.select(F.col("dst").alias("s")).distinct(), F.col("src") == F.col("s"), "left_semi").join(left.select(F.col("src").alias("d")).distinct(), F.col("dst") == F.col("d"), "left_semi"))
+            now = store.count(store.passing[-1])
+        if not now:
+            break
+        start = left.select(F.col("src").alias("node"), F.col("src").alias("colour")).union(left.select("dst", "dst")).distinct()
+        colours = store.written(best_fixpoint(start, lambda d, left=left: d.join(left, d.node == left.src).select(F.col("dst").alias("node"), "colour"), "min", "colour"))
+        of = colours.toDF("n", "c")
+        inner = left.join(of, left.src == of.n).select("src", "dst", F.col("c").alias("cs")).join(of, F.col("dst") == of.n).where("c = cs").select("src", "dst")
+        inner = store.written(inner)
+        found = store.written(set_fixpoint(colours.where("node = colour"), lambda d, inner=inner: d.join(inner, d.node == inner.dst).select(F.col("src").alias("node"), "colour")))
+        done.append(found)
+        gone = found.select(F.col("node").alias("g"))
+        left = store.written(left.join(gone, left.src == gone.g, "left_anti").join(gone, left.dst == gone.g, "left_anti"))
+    else:
+        raise NoFixpoint(f"strong components: edges are left after {max_rounds} rounds")
+    if not done:
+        return nodes.select("node", F.col("node").alias("component"))
+    found = reduce(DataFrame.unionByName, done).toDF("n", "component")
+    return nodes.join(found, nodes.node == found.n, "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def count_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -180,9 +207,10 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Column, Column], Column], merge: Callable[[str], Column], update: Callable[[Column, Column], Column], max_iterations: int = 20) -> DataFrame:
+def pregel(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Column, Column], Column], merge: Callable[[str], Column], update: Callable[[Column, Column], Column], max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """vertices(id, value): each round the nodes whose value changed send message(value, src, dst) along
-    their edges, messages to a node are merged by an aggregate, and update(old, merged) gives its new value."""
+    their edges, messages to a node are merged by an aggregate, and update(old, merged) gives its new value.
+    Values that still change after max_iterations rounds raise NoFixpoint."""
     store, e = Store(vertices.sparkSession, "pregel"), _edges(edges)
     state = store.written(vertices.toDF("id", "value").withColumn("changed", F.lit(True)))
     for _ in range(max_iterations):
@@ -193,6 +221,9 @@ def pregel(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Col
         got = sent.where("m is not null").groupBy("to").agg(merge("m").alias("m"))
         new = F.when(F.col("m").isNotNull(), update(F.col("value"), F.col("m"))).otherwise(F.col("value"))
         state = store.written(state.join(got, state["id"] == got["to"], "left").select("id", new.alias("new"), "value").select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("changed")))
+    else:
+        if not state.where("changed").isEmpty():
+            raise NoFixpoint(f"values still change after {max_iterations} rounds")
     return state.select("id", "value")
 
 

@@ -35,7 +35,8 @@ class NoFixpoint(RuntimeError):
 @dataclass
 class Predicate:
     """columns: all of them; for min, max and sum the one at `value` is the aggregate, the others are
-    the key, but for `witness` columns, which come from the row that won."""
+    the key, but for `witness` columns, which come from the row that won; of rows with equal values the
+    one with the least witnesses (for max: the greatest) wins, whatever the rounds in which they came."""
 
     name: str
     columns: list[str]
@@ -115,11 +116,18 @@ class Clique:
             return log.groupBy(*p.keys).agg(F.max_by(p.columns[p.value], "round__").alias(p.columns[p.value])).select(*p.columns)
         return self._best(log, p)
 
+    @staticmethod
+    def _order(p: Predicate):
+        """What is compared: the value, and of equal values the witnesses."""
+        names = [p.columns[p.value], *(p.columns[i] for i in p.witness)]
+        return F.struct(*names) if p.witness else F.col(names[0])
+
     def _best(self, df: DataFrame, p: Predicate) -> DataFrame:
-        v = p.columns[p.value]
-        pick, by = (F.min, F.min_by) if p.mode == "min" else (F.max, F.max_by)
-        extra = [by(p.columns[i], v).alias(p.columns[i]) for i in p.witness]
-        return df.groupBy(*p.keys).agg(pick(v).alias(v), *extra).select(*p.columns)
+        v, pick = p.columns[p.value], F.min if p.mode == "min" else F.max
+        if not p.witness:
+            return df.groupBy(*p.keys).agg(pick(v).alias(v)).select(*p.columns)
+        best = df.groupBy(*p.keys).agg(pick(self._order(p)).alias("best__"))
+        return best.select(*(c if c in p.keys else F.col(f"best__.{c}") for c in p.columns))
 
     def _delta(self, s: _State) -> DataFrame:
         return self.store.get(s.schema, s.delta).select(*s.predicate.columns)
@@ -184,7 +192,7 @@ class Clique:
     def _put(self, s: _State, new: DataFrame) -> bool:
         """Write changes; true if there are any."""
         path = self.store.put(new.select(*s.schema.names))
-        n = self.store.get(s.schema, path).count()
+        n = self.store.count(path)
         s.delta = path if n else None
         if n:
             s.log.append(path)
@@ -214,6 +222,10 @@ class Clique:
             return full.join(few, _same(full, few, keys), "left_semi")
         return full
 
+    def _counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        df = self.store.written(df)
+        return df, self.store.count(self.store.passing[-1])
+
     def _merge_set(self, s: _State, derived: DataFrame) -> DataFrame:
         derived = derived.distinct()
         if not self.iterations:
@@ -221,8 +233,8 @@ class Clique:
         if s.rows <= SMALL_ROWS:
             known = F.broadcast(self._full(s))
             return derived.join(known, _same(derived, known, s.predicate.columns), "left_anti")
-        derived = self.store.written(derived)
-        known = self._known(self._full(s), derived, s.predicate.columns, derived.count())
+        derived, n = self._counted(derived)
+        known = self._known(self._full(s), derived, s.predicate.columns, n)
         return derived.join(known, _same(derived, known, s.predicate.columns), "left_anti")
 
     def _merge_best(self, s: _State, derived: DataFrame) -> DataFrame:
@@ -231,12 +243,13 @@ class Clique:
         if not self.iterations:
             return best
         if s.rows <= SMALL_ROWS:
-            known = F.broadcast(self._full(s).select(*p.keys, F.col(v).alias("known__")))
+            known = F.broadcast(self._full(s).select(*p.keys, self._order(p).alias("known__")))
         else:
-            best = self.store.written(best)
-            known = self._known(self._full(s), best, p.keys, best.count()).select(*p.keys, F.col(v).alias("known__"))
+            best, n = self._counted(best)
+            known = self._known(self._full(s), best, p.keys, n).select(*p.keys, self._order(p).alias("known__"))
         joined = best.join(known, _same(best, known, p.keys), "left").select(*(best[c] for c in p.columns), known["known__"])
-        better = F.col(v) < F.col("known__") if p.mode == "min" else F.col(v) > F.col("known__")
+        now = self._order(p)
+        better = now < F.col("known__") if p.mode == "min" else now > F.col("known__")
         return joined.where(F.col("known__").isNull() | better).select(*p.columns)
 
     def _parts(self, s: _State) -> DataFrame:
@@ -254,7 +267,7 @@ class Clique:
         s.parts_schema = s.parts_schema or T.StructType([T.StructField(f.name, f.dataType, True) for f in fresh.schema.fields])
         fresh = self.store.get(s.parts_schema, path)
         touched = fresh.select(*p.keys).distinct()
-        rows = fresh.count()
+        rows = self.store.count(path)
         parts = self._parts(s)
         mine = self._known(parts, touched, p.keys, rows) if rows <= FEW_ROWS else parts.join(touched, _same(parts, touched, p.keys), "left_semi") if p.keys else parts
         now = mine.groupBy(*p.keys).agg(F.sum(v).alias(v)).select(*p.columns, F.lit(self.iterations).alias("round__"))
@@ -263,8 +276,8 @@ class Clique:
         if s.rows <= SMALL_ROWS:
             known = F.broadcast(self._full(s).select(*p.keys, F.col(v).alias("known__")))
         else:
-            now = self.store.written(now)
-            known = self._known(self._full(s), now, p.keys, now.count()).select(*p.keys, F.col(v).alias("known__"))
+            now, n = self._counted(now)
+            known = self._known(self._full(s), now, p.keys, n).select(*p.keys, F.col(v).alias("known__"))
         joined = now.join(known, _same(now, known, p.keys), "left").select(*(now[c] for c in now.columns), known["known__"])
         return joined.where(~F.col("known__").eqNullSafe(F.col(v))).select(*now.columns)
 
@@ -287,7 +300,7 @@ class Clique:
             paths = {name: self.store.put(m.select(*self.states[name].schema.names)) for name, m in merged.items()}
             for name, s in self.states.items():
                 s.delta = None
-                n = self.store.get(s.schema, paths[name]).count() if name in paths else 0
+                n = self.store.count(paths[name]) if name in paths else 0
                 if n:
                     s.delta = paths[name]
                     s.log.append(paths[name])

@@ -54,6 +54,7 @@ class LogicEngine:
         self.aggregates: dict[str, tuple] = {}
         self.iterations: dict[str, int] = {}
         self._solved: dict[str, DataFrame] = {}
+        self._settled: dict[str, DataFrame] = {}
         for name, df in (relations or {}).items():
             self.register(name, df)
 
@@ -63,6 +64,7 @@ class LogicEngine:
         """A base relation: a set of rows, or one row for each key where a key is declared."""
         keys = self.program.keys.get(name)
         self.base[name] = df.dropDuplicates([df.columns[i] for i in keys]) if keys else df.distinct()
+        self._settled.pop(name, None)
         self._solved.clear()
 
     def register_aggregate(self, name: str, zero, merge, finish=lambda acc: acc) -> None:
@@ -186,7 +188,7 @@ class LogicEngine:
             elif atom.name in self._solved:
                 df = self._solved[atom.name]
             elif atom.name in self.base:
-                df = self.base[atom.name]
+                df = self._settled.get(atom.name, self.base[atom.name])
             else:
                 raise ProgramError(f"unknown relation {atom.name}")
             return df, df.columns
@@ -277,6 +279,21 @@ class LogicEngine:
         value = column(a.value) if a.factor is None else column(a.factor) * column(a.value)
         return [value.alias("value__"), F.struct(*map(column, a.occurrence)).alias("occurrence__")]
 
+    def _settle(self, part: list[str], rules: list[RuleText]) -> None:
+        """Write the relations that recursive rules join once, by the arguments that they share with the
+        recursive atom (`Store.base`), so that no round computes or moves them again."""
+        store = Store(self.spark, "base")
+        for r in rules:
+            atoms = [a for a, _ in atoms_of(r.body)]
+            inner = [a for a in atoms if a.name in part]
+            for a in atoms:
+                if not inner or a.name in part or a.name in self._settled or a.name in self._solved or a.name not in self.base:
+                    continue
+                df = self.base[a.name]
+                shared = variables(inner[0])
+                keys = [c for c, x in zip(df.columns, a.args) if isinstance(x, Var) and x.name in shared]
+                self._settled[a.name] = store.base(df, *keys[:1])
+
     def _recursive(self, part: list[str], rules: list[RuleText], seeds: dict) -> None:
         predicates = []
         for name in part:
@@ -299,6 +316,7 @@ class LogicEngine:
                 if a.name in part and under:
                     raise ProgramError(f"{r.head.name} depends on the negation of {a.name} within their recursion")
             compiled.append(self._compiled(r, by_name, part, seeds.get(r.head.name)))
+        self._settle(part, rules)
         clique = Clique(self.spark, predicates, compiled, self.limit, self.stop_at_limit)
         self._solved |= clique.solve()
         self.iterations |= {name: clique.iterations for name in part}

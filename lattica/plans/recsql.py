@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.operators.fixpoint import MAX_ITERATIONS, Clique, Predicate, Rule
+from lattica.store import Store
 
 from .graph import components
 
@@ -195,11 +196,10 @@ def occurrence(arm: str, view: View, views: dict[str, View]) -> str:
     aliases = {(alias or table).lower(): table for _, table, alias in from_items(parts) if table.lower() in views}
     where = re.search(r"(?is)\bwhere\b(.*?)(\bgroup\s+by\b|\border\s+by\b|$)", arm)
     found = []
-    if where:
-        for a, b in re.findall(r"([\w`]+\.[\w`]+)\s*=\s*([\w`]+\.[\w`]+)", where[1]):
-            sides = [x for x in (a, b) if x.split(".")[0].strip("`").lower() in aliases]
-            if len(sides) == 1:
-                found.append(sides[0])
+    for pair in equalities(where[1]) if where else ():
+        sides = [x for x in pair if x.split(".")[0].lower() in aliases]
+        if len(sides) == 1:
+            found.append(".".join(f"`{x}`" for x in sides[0].split(".")))
     if len(found) == 1:
         return found[0]
     keys = [i for i in range(len(view.columns)) if i != view.place]
@@ -216,6 +216,23 @@ def occurrence(arm: str, view: View, views: dict[str, View]) -> str:
     return re.sub(r"(?is)\s+as\s+\w+\s*$", "", _comma(items)[keys[0]])
 
 
+def equalities(arm: str) -> list[tuple[str, str]]:
+    """Pairs of qualified columns that WHERE or ON sets equal."""
+    return [(a.replace("`", ""), b.replace("`", "")) for a, b in re.findall(r"([\w`]+\.[\w`]+)\s*=\s*([\w`]+\.[\w`]+)", arm)]
+
+
+def join_columns(arm: str, recursive: set[str]) -> dict[str, str]:
+    """For each other table of an arm the first column that an equality ties to a recursive view."""
+    tables = {(alias or table).strip("`").lower(): table for _, table, alias in from_items(lexed(arm))}
+    out: dict[str, str] = {}
+    for pair in equalities(arm):
+        for own, other in (pair, pair[::-1]):
+            alias, column = other.split(".")
+            if tables.get(own.split(".")[0].lower(), "").lower() in recursive and tables.get(alias.lower(), "").lower() not in recursive | {""}:
+                out.setdefault(tables[alias.lower()], column)
+    return out
+
+
 class RecursiveSql:
     """A session for scripts over registered relations."""
 
@@ -224,14 +241,29 @@ class RecursiveSql:
         self.declared: dict[str, list[tuple[str, str]]] = {}
         self.columns: set[str] = set()
         self.hint: str | None = None
+        self.store = Store(spark, "base")
+        self.relations: dict[str, DataFrame] = {}
         for name, df in (relations or {}).items():
             self.register(name, df)
 
     def register(self, name: str, df: DataFrame) -> None:
-        """A base relation: the different rows of df."""
-        df.distinct().createOrReplaceTempView(name)
+        """A base relation: the different rows of df. The first recursion that reads it writes it once, by the
+        column that it joins on (`Store.base`)."""
+        self.relations[name] = df.distinct()
+        self.relations[name].createOrReplaceTempView(name)
         self.columns |= set(df.columns)
 
+    def _settle(self, arms: list[str], own: set[str]) -> None:
+        """Write the base relations that recursive arms read."""
+        keys: dict[str, str] = {}
+        for arm in arms:
+            keys = join_columns(arm, own) | keys
+        used = {t for arm in arms for _, t, _ in from_items(lexed(arm))}
+        for name in used & set(self.relations):
+            df = self.relations.pop(name)
+            key = next((c for c in df.columns if c.lower() == keys.get(name, "").lower()), None)
+            self.store.base(df, *([key] if key else [])).createOrReplaceTempView(name)
+
     def script(self, text: str, relations: dict[str, DataFrame] | None = None, **parameters) -> DataFrame | None:
         """Run all statements; the last query's rows."""
         hint = re.search(r"(?im)^\s*--\s*hint:\s*(\w+)", text)
@@ -306,6 +338,8 @@ class RecursiveSql:
         own = {v.name.lower() for v in views}
         predicates = [Predicate(v.name, v.columns, {"min": "min", "max": "max", "count": "sum", "sum": "sum", None: "set"}[v.aggregate], v.place) for v in views]
         rules = []
+        quoted = [quote_names(arm, self.columns) for v in views for arm in v.arms]
+        self._settle([arm for arm in quoted if any(t.lower() in own for _, t, _ in from_items(lexed(arm)))], own)
         for v in views:
             for arm in v.arms:
                 tables = [t for _, t, _ in from_items(lexed(quote_names(arm, self.columns)))]

@@ -90,7 +90,54 @@ def _transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT TRANSFORM (n_nationkey, n_name) USING 'cat' AS (k INT, name STRING) FROM nation")
 
 
+def _csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, quotes within quotes, dates in another form, blanks around values, and lines with a field missing or of another kind."""
+    path = _path(spark, "csv-options")
+    line = F.concat_ws(";", F.col("n_nationkey").cast("string"), F.concat(F.lit('"a \\"'), F.col("n_name"), F.lit('\\"; b"')), F.lit(" 31/01/2020 "), F.when(F.col("n_regionkey") == 0, F.lit("none")).otherwise(F.col("n_regionkey").cast("string")))
+    rows = read(spark, sf_dir, "nation").select(line.alias("value"))
+    rows.unionAll(spark.createDataFrame([("#note;1;2;3",), ("x;y;31/01/2020;1",)], "value string")).coalesce(1).write.text(path)
+    kind = "k int, name string, day date, region int"
+    return spark.read.csv(path, schema=kind, sep=";", comment="#", escape="\\", nullValue="none", dateFormat="dd/MM/yyyy", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="DROPMALFORMED").where("k is not null").select("k", "name", F.date_format("day", "yyyy-MM-dd").alias("day"), "region")
+
+
+def _json_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, single quotes, unquoted names, leading zeros, numbers as text, and what can't be read kept apart."""
+    path = _path(spark, "json-options")
+    line = F.format_string("/* row */ {k: 0%d, 'name': '%s', more: {list: [1, %d]}}", "n_nationkey", "n_name", "n_regionkey")
+    rows = read(spark, sf_dir, "nation").select(line.alias("value"))
+    rows.unionAll(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    kind = "k string, name string, more struct<list: array<int>>, bad string"
+    found = spark.read.schema(kind).json(path, allowComments=True, allowSingleQuotes=True, allowUnquotedFieldNames=True, allowNumericLeadingZeros=True, columnNameOfCorruptRecord="bad")
+    return found.select(F.col("k").cast("int").alias("k"), "name", F.col("more.list")[1].alias("region"), "bad")
+
+
+def _whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as one text and as bytes each."""
+    path = _path(spark, "whole")
+    read(spark, sf_dir, "nation").select("n_name", "n_regionkey").coalesce(1).write.partitionBy("n_regionkey").text(path)
+    texts = spark.read.text(path, wholetext=True).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("value")).alias("chars"), F.min(F.array_min(F.filter(F.split("value", r"\n"), lambda x: x != ""))).alias("least"))
+    size = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("r"), "length", F.octet_length("content").alias("read"))
+    return texts.join(size.where("length = read"), F.col("n_regionkey") == F.col("r")).select(F.col("n_regionkey").cast("int").alias("region"), "files", "chars", "length", "least")
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function is made, shown, described, used and dropped."""
+    name = f"net_{uuid.uuid4().hex[:8]}"
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    spark.sql(f"CREATE TEMPORARY FUNCTION {name}(price DOUBLE, discount DOUBLE COMMENT 'a share') RETURNS DOUBLE COMMENT 'what is paid' RETURN price * (1 - discount)")
+    known = [r[0] for r in spark.sql(f"SHOW USER FUNCTIONS LIKE '{name}'").collect()]
+    told = " ".join(r[0] for r in spark.sql(f"DESCRIBE FUNCTION EXTENDED {name}").collect())
+    out = spark.sql(f"SELECT l_returnflag, round(sum({name}(l_extendedprice, l_discount)), 2) AS net, {len(known)} AS shown, {'what is paid' in told} AS described FROM lineitem GROUP BY l_returnflag")
+    spark.sql(f"DROP TEMPORARY FUNCTION {name}")
+    left = spark.sql(f"SHOW USER FUNCTIONS LIKE '{name}'").count()
+    return out.withColumn("left_over", F.lit(left))
+
+
 PROGRAMS = {
+    "format_csv_options": (_csv_options, "SELECT n_nationkey AS k, 'a \"' || n_name || '\"; b' AS name, '2020-01-31' AS day, nullif(n_regionkey, 0) AS region FROM nation"),
+    "format_json_options": (_json_options, "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region, CAST(NULL AS VARCHAR) AS bad FROM nation UNION ALL SELECT NULL, NULL, NULL, '{broken'"),
+    "source_whole_files": (_whole_files, "SELECT n_regionkey AS region, CAST(1 AS BIGINT) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS chars, CAST(sum(length(n_name) + 1) AS BIGINT) AS length, min(n_name) AS least FROM nation GROUP BY n_regionkey"),
+    "ddl_function": (_functions, "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, 1 AS shown, true AS described, 0 AS left_over FROM lineitem GROUP BY l_returnflag"),
     "format_parquet": (_through("parquet", "nation", compression="gzip"), "SELECT * FROM nation"),
     "format_orc": (_through("orc", "nation"), "SELECT * FROM nation"),
     "format_json": (_through("json", "nation"), "SELECT * FROM nation"),

@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.functions import compat
+
 from .common import read, sql
 
 PAIRS: dict[str, tuple[str, str | None]] = {
+    "agg_decimal": ("SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS STRING) AS s, CAST(max(CAST(l_extendedprice AS DECIMAL(12,2)) + CAST(l_tax AS DECIMAL(5,3))) AS STRING) AS m, CAST(min(CAST(l_quantity AS DECIMAL(6,2)) - CAST(l_discount AS DECIMAL(4,2))) AS STRING) AS d, count(CAST(l_extendedprice AS DECIMAL(6,2))) AS fits FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS VARCHAR) AS s, CAST(max(CAST(l_extendedprice AS DECIMAL(12,2)) + CAST(l_tax AS DECIMAL(5,3))) AS VARCHAR) AS m, CAST(min(CAST(l_quantity AS DECIMAL(6,2)) - CAST(l_discount AS DECIMAL(4,2))) AS VARCHAR) AS d, count(TRY_CAST(l_extendedprice AS DECIMAL(6,2))) AS fits FROM lineitem GROUP BY l_returnflag"),
+    "fn_session": ("SELECT n_nationkey, current_database() AS d, current_catalog() AS c, version() LIKE '4.%' AS v FROM nation", "SELECT n_nationkey, 'default' AS d, 'spark_catalog' AS c, true AS v FROM nation"),
     # scans and predicates
     "scan_project_filter": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity > 45 AND l_discount BETWEEN 0.05 AND 0.07", None),
     "filter_source_predicates": ("SELECT c_custkey, c_name FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_mktsegment IN ('MACHINERY')) AND NOT c_acctbal < 0 AND c_name LIKE 'Customer%1' AND c_nationkey IS NOT NULL", None),
@@ -123,26 +127,32 @@ def _dataframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group the exact number, and by how many tenths of it the estimate is off, rounded down."""
     o = read(spark, sf_dir, "orders")
-    both = o.agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.countDistinct("o_custkey").alias("e"))
-    return both.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    both = o.groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.countDistinct("o_custkey").alias("customers"))
+    return both.select("o_orderpriority", "customers", F.floor(10 * F.abs(F.col("a") - F.col("customers")) / F.col("customers")).cast("long").alias("tenths_off"))
 
 
 def _approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an accuracy above the number of rows the approximate percentile is an exact one."""
     o = read(spark, sf_dir, "orders")
-    both = o.agg(F.percentile_approx("o_totalprice", 0.5, 10_000).alias("a"), F.percentile("o_totalprice", F.lit(0.5)).alias("e"))
-    return both.select((F.abs(F.col("a") - F.col("e")) <= 0.02 * F.col("e")).alias("close"))
+    return o.groupBy("o_orderpriority").agg(F.percentile_approx("o_totalprice", [0.25, 0.5, 0.9], 100_000_000).alias("p"))
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "orders").agg(F.histogram_numeric("o_totalprice", F.lit(5)).alias("h")).select(F.explode("h").alias("b"))
-    return h.agg(F.sum("b.y").cast("long").alias("n"), F.count(F.lit(1)).alias("bins"))
+    """Bins of every group hold all its rows, and their weighted centres its mean."""
+    h = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.histogram_numeric("o_totalprice", F.lit(5)).alias("h")).select("o_orderpriority", F.explode("h").alias("b"))
+    return h.groupBy("o_orderpriority").agg(F.sum("b.y").cast("long").alias("n"), F.count(F.lit(1)).alias("bins"), F.round(F.sum(F.col("b.x") * F.col("b.y")) / F.sum("b.y"), 2).alias("mean"))
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples without replacement: one of all rows is the table, two parts of a split add up to it, and a tenth is near a tenth."""
     n = read(spark, sf_dir, "lineitem")
-    s = n.sample(fraction=0.1, seed=7)
-    return s.agg(F.count(F.lit(1)).alias("k")).crossJoin(n.agg(F.count(F.lit(1)).alias("n"))).select((F.abs(F.col("k") - 0.1 * F.col("n")) < 0.05 * F.col("n")).alias("near"))
+    k = n.sample(fraction=0.1, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("k"))
+    whole = n.sample(fraction=1.0, seed=3).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    first, second = n.randomSplit([0.3, 0.7], 5)
+    parts = first.unionAll(second).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("split"), F.countDistinct("l_orderkey", "l_linenumber").alias("different"))
+    return whole.join(parts, "l_returnflag").join(k, "l_returnflag").select("l_returnflag", "n", "quantity", "split", "different", (F.abs(F.col("k") - 0.1 * F.col("n")) < 0.03 * F.col("n")).alias("near"))
 
 
 def _freq_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,14 +192,28 @@ def _cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("k").cogroup(b.groupBy("k")).applyInPandas(merge, "k int, customers long, suppliers long")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return compat.with_index(o, "o_orderdate", "o_orderkey").select("o_orderkey", "at")
+
+
+def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sort-merge join on a key that nine tenths of one side share; adaptive execution splits such partitions."""
+    li = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 10 == 0, F.col("l_suppkey")).otherwise(1).alias("k"), "l_quantity")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return s.hint("merge").join(li, s.s_suppkey == li.k).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
 FRAMES = {
+    "df_zip_with_index": (_indexed, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS at FROM orders"),
+    "join_skewed": (_skewed, "SELECT s_nationkey, count(*) AS n, sum(l_quantity) AS quantity FROM supplier JOIN (SELECT CASE WHEN l_orderkey % 10 = 0 THEN l_suppkey ELSE 1 END AS k, l_quantity FROM lineitem) ON s_suppkey = k GROUP BY s_nationkey"),
     "df_join_agg": (_dataframe_join_agg, "SELECT c_custkey, round(coalesce(sum(o_totalprice), 0.0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "df_na_functions": (_dataframe_na, "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'none' WHEN c_mktsegment = 'MACHINERY' THEN 'M' ELSE c_mktsegment END AS seg, c_nationkey AS nat FROM customer WHERE c_nationkey <> 4"),
     "df_asof_join": (_dataframe_asof, "SELECT event_id, click FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click FROM events) WHERE event_type = 'error'"),
-    "agg_approx_distinct": (_approx_distinct, "SELECT true AS close"),
-    "agg_approx_percentile": (_approx_percentile, "SELECT true AS close"),
-    "agg_histogram_numeric": (_histogram, "SELECT count(*) AS n, CAST(5 AS BIGINT) AS bins FROM orders"),
-    "sample_fraction": (_sample, "SELECT true AS near"),
+    "agg_approx_distinct": (_approx_distinct, "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, CAST(0 AS BIGINT) AS tenths_off FROM orders GROUP BY o_orderpriority"),
+    "agg_approx_percentile": (_approx_percentile, "SELECT o_orderpriority, quantile_disc(o_totalprice, [0.25, 0.5, 0.9]) AS p FROM orders GROUP BY o_orderpriority"),
+    "agg_histogram_numeric": (_histogram, "SELECT o_orderpriority, count(*) AS n, CAST(5 AS BIGINT) AS bins, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY o_orderpriority"),
+    "sample_fraction": (_sample, "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, count(*) AS split, count(DISTINCT (l_orderkey, l_linenumber)) AS different, true AS near FROM lineitem GROUP BY l_returnflag"),
     "agg_freq_items": (_freq_items, "SELECT DISTINCT o_orderstatus AS item FROM orders"),
     "udaf_geometric_mean": (_pandas_udaf, "SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 2) AS gmean FROM orders WHERE o_totalprice > 0 GROUP BY o_orderstatus"),
     "udf_pandas": (_pandas_udf, "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem"),

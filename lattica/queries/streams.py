@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from lattica.store import shared_folder
 from lattica.streaming import windows
 
 from .common import prepare
@@ -59,6 +63,41 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 
 
+def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result kept in a table in memory, by the query's name."""
+    name = f"kept_{uuid.uuid4().hex[:8]}"
+    counts = _stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query's handle and a listener tell of it."""
+    seen: list[str] = []
+
+    class Told(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            seen.append("started")
+
+        def onQueryProgress(self, event):
+            pass
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            seen.append("failed" if event.exception else "ended")
+
+    told, name = Told(), f"told_{uuid.uuid4().hex[:8]}"
+    spark.streams.addListener(told)
+    query = _stream(spark, sf_dir).where("value > 50").writeStream.format("noop").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(told)
+    rows = sum(p["numInputRows"] for p in query.recentProgress)
+    return spark.createDataFrame([(query.name == name, query.isActive, query.exception() is None, rows, ",".join(seen))], "named boolean, active boolean, sound boolean, n long, told string")
+
+
 WINDOWED = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL {w} HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS s, event_type, value FROM events, {ks}) GROUP BY s, event_type"
 PROGRAMS = {
     "stream_tumbling_window": (tumbling, WINDOWED.format(w=1, ks="(VALUES (0)) t(k)")),
@@ -67,6 +106,8 @@ PROGRAMS = {
     "stream_append_mode": (append_mode, "SELECT event_id, user_id FROM events WHERE event_type = 'click'"),
     "stream_deduplicate": (deduplicated, "SELECT DISTINCT event_id FROM events"),
     "stream_keyed_state": (keyed_state, "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"),
+    "stream_memory_sink": (memory_sink, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type"),
+    "stream_progress": (progress, "SELECT true AS named, false AS active, true AS sound, count(*) AS n, 'started,ended' AS told FROM events"),
     "stream_sessions": (sessions, "SELECT user_id, CAST(sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id"),
 }
 QUERIES = {name: q for name, (q, _) in PROGRAMS.items()}

@@ -67,6 +67,32 @@ def test_components(edges):
     assert table(graph.strongly_connected_components(edges)) == sorted(((n, min([n] + [b for a, b in pairs if a == n and (b, a) in pairs])) for n in nodes), key=str)
 
 
+def test_a_long_chain_and_cycles(spark):
+    """Components in few rounds whatever the diameter; strong components of rings that hang together."""
+    n = 5000
+    order = random.Random(3).sample(range(n), n)
+    chain = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "a long, b long")
+    assert {tuple(r) for r in graph.connected_components(chain).groupBy("component").count().collect()} == {(0, n)}
+    rings = [(10 * r + i, 10 * r + (i + 1) % 10) for r in range(8) for i in range(10)] + [(10 * r + 3, 10 * r + 17) for r in range(7)] + [(5, 5), (100, 101), (101, 3), (79, 200)]
+    got = dict(table(graph.strongly_connected_components(spark.createDataFrame(rings, "a long, b long"))))
+    assert got == {n: n // 10 * 10 for n in range(80)} | {100: 100, 101: 101, 200: 200}
+
+
+def test_pregel_raises_at_its_limit(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    nodes = spark.range(7).select("id", F.col("id").alias("v"))
+    least = (lambda v, a, b: v), (lambda m: F.min(m)), (lambda old, new: F.least(old, new))
+    assert {r.value for r in graph.pregel(nodes, path, *least).collect()} == {0}
+    with pytest.raises(fixpoint.NoFixpoint):
+        graph.pregel(nodes, path, *least, max_iterations=3)
+
+
+def test_places_in_an_order(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 101).alias("x"))
+    assert [r["at"] for r in compat.with_index(df, "x").orderBy("x").collect()] == list(range(100))
+    assert compat.with_index(df.limit(0), "x").count() == 0
+
+
 def test_triangles_and_ranks(spark, edges):
     plain = {frozenset(e) for e in EDGES if e[0] != e[1]}
     nodes = {x for e in EDGES for x in e}
