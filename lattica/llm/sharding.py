@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 FINISH_ROWS = 20_000
+INTERVAL_ROWS, MOST_INTERVALS = 1_000_000, 4096
 FIRST_PROBES = 4096
 PROBES = 256
 LEAST_LONG = -(1 << 63)
@@ -158,12 +159,15 @@ def splitters(keys: DataFrame, parts: int) -> list[tuple[tuple[int, int], int]]:
     return [found[i] for i in targets]
 
 
-def histogram_shards(keys: DataFrame, shards: int = 16, fine: int = 8) -> DataFrame:
+def histogram_shards(keys: DataFrame, shards: int = 16, fine: int | None = None) -> DataFrame:
     """keys (from keyed()) with shard and slot: row counts from 0 without gaps in each shard.
 
     The key space is cut into shards * fine intervals of near equal bytes, so that numbering
-    the slots takes many small sorts, not one for each shard.
+    the slots takes many small sorts, not one for each shard: of INTERVAL_ROWS rows on average, in at most
+    MOST_INTERVALS.
     """
+    if fine is None:
+        fine = max(8, min(MOST_INTERVALS // shards, keys.count() // (shards * INTERVAL_ROWS)))
     cuts = splitters(keys, shards * fine)
     starts = [0] + [rows for _, rows in cuts]
     if not cuts:
@@ -178,7 +182,7 @@ def histogram_shards(keys: DataFrame, shards: int = 16, fine: int = 8) -> DataFr
     return numbered.select("doc_id", "size", "text_crc32", F.floor(F.col("part") / fine).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, fine: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, fine: int | None = None) -> DataFrame:
     """All documents in `shards` shards of near equal bytes (law `bytes`)."""
     keys = written(keyed(docs), "shard-keys")
     out = histogram_shards(keys, shards, fine)

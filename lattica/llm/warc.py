@@ -4,13 +4,15 @@ Records are ordered by payload digest and then by falling page_id, so that the r
 a group of equal payloads stands before its revisits. A part of the order holds a range of
 digests; SHA-1 is uniform, so the ranges need no sampling. A digest that more than
 max(HOT_ROWS, rows / 4096) pages share (so at most 4096 of them: they are fetched and
-broadcast) has its rows spread over all parts by page_id, its revisits without payload.
+broadcast) has its rows spread over all parts by page_id and url, its revisits without payload.
 Payloads are exchanged once. Each part rolls to a new file beyond `roll_bytes` of compressed
 data; every record is a gzip member of its own, with headers and digests made anew.
 
 Files are written under a temporary name and renamed when whole. Names and bytes follow from
-the input alone, so a task that runs again replaces its files by equal ones. The manifest
-(a table of file, records, bytes, sha1) is committed last; readers open what it lists.
+the input alone, so a task that runs again replaces its files by equal ones: a file that is already there is removed
+before the renaming, as some file systems refuse to rename onto one. The manifest
+(a table of file, records, bytes, sha1) is committed last; readers open what it lists. Folders are local, on HDFS or
+in an object store (names of Spark's connectors, s3a and gs, are taken for s3 and gs).
 
 Defined results: a null html is the empty payload, and empty payloads form a group as any
 other; a null url is written as an empty target; a null page_id comes last in its group; of
@@ -34,7 +36,7 @@ from .common import new_path
 
 HOT_ROWS = 64
 HOT_GROUPS = 4096
-ROWS_PER_PART = 20_000
+ROWS_PER_PART, PART_BYTES = 20_000, 128 << 20
 ROLL_BYTES = 64 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,11 +73,18 @@ def _member(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if folder.startswith(ours):
+            folder = theirs + folder.removeprefix(ours)
+    return fs.FileSystem.from_uri(folder)
+
+
 class _Shard:
     """A file that grows under a temporary name and gets its own when closed."""
 
     def __init__(self, folder: str, part: int, number: int, level: int):
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
+        self.store, self.folder = _opened(folder)
         self.name, self.part = f"shard-{part:06d}-{number:04d}.warc.gz", part
         self.temporary = f"{self.folder}/.tmp-{self.name}-{uuid.uuid4().hex}"
         self.store.create_dir(self.folder, recursive=True)
@@ -91,7 +100,10 @@ class _Shard:
 
     def close(self) -> dict:
         self.out.close()
-        self.store.move(self.temporary, f"{self.folder}/{self.name}")
+        own = f"{self.folder}/{self.name}"
+        if self.store.get_file_info(own).type != fs.FileType.NotFound:
+            self.store.delete_file(own)
+        self.store.move(self.temporary, own)
         return {"part": self.part, "file": self.name, "records": self.records, "bytes": self.size, "sha1": self.sha.hexdigest()}
 
 
@@ -129,8 +141,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     records = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("size"))
-    rows = pages.select("page_id").count()
-    parts = max(4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PART))
+    rows, size = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).head()
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PART), -(-size // PART_BYTES))
     hot = records.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("response")).where((F.col("n") > max(HOT_ROWS, rows // HOT_GROUPS)) & F.col("response").isNotNull()).select("sha", "response").collect()
     if hot:
         known = F.broadcast(spark.createDataFrame(hot, "sha string, response long").withColumn("hot", F.lit(True)))
@@ -139,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
         records = records.withColumns({"response": F.lit(None).cast("long"), "hot": F.lit(None).cast("boolean")})
     here = F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") * parts
     placed = records.select(
-        F.when(F.col("hot"), F.pmod(F.xxhash64("page_id"), F.lit(parts))).otherwise(F.shiftright(here, 32)).cast("int").alias("part"),
+        F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(parts))).otherwise(F.shiftright(here, 32)).cast("int").alias("part"),
         "sha", "page_id", "url",
         F.when(F.col("hot").isNull() | (F.col("page_id") == F.col("response")), F.col("payload")).alias("payload"),
         "size", F.coalesce("hot", F.lit(False)).alias("hot"), "response",
@@ -171,7 +183,7 @@ def parse_records(data) -> Iterator[tuple[dict, bytes]]:
 
 def _read_files(folder: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = _opened(folder)
         number = lambda head, key: int(head[key]) if key in head else None
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
         for batch in batches:

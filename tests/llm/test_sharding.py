@@ -37,6 +37,13 @@ def test_exact_splitters(spark, monkeypatch, finish, probes):
     assert got(sharding.shard_documents(clashing(spark, rows), fine=2)) == brute(rows)
 
 
+def test_probing_with_the_production_parameters(spark):
+    """More rows than are fetched to finish: the splitters come from probes."""
+    rows = [(i, f"{i % 9000} " * (1 + i % 13), None, None, None) for i in range(30_000)]
+    assert len(rows) > sharding.FINISH_ROWS
+    assert got(sharding.shard_documents(frame(spark, rows))) == brute(rows)
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(5, "same", None, None, None)] * 40 + [(6, "other", None, None, None), (None, None, None, None, None)]
     assert got(sharding.shard_documents(frame(spark, rows), fine=2)) == brute(rows)
