@@ -4,9 +4,9 @@ residuals, asymmetric distance tables, and exact reranking.
 Centroids and codebooks are fitted on the driver on a bounded sample (SAMPLE vectors of least
 hash); every vector is indexed. Equal vectors form a class that is indexed once with its KEEP
 least ids, as no answer needs more of them; so a vector that a third of all rows hold is one
-entry. A query class probes the nearest lists, PROBE_SHARE of all (PROBES at least) and as many
-as hold SHORTLIST entries: with a fixed number of lists, the share searched and the recall fall as
-the input grows. Entries are dealt by hash into blocks of bounded size, whatever their list, and a
+entry. How many of the nearest lists a query probes is measured: TRIALS query vectors of least hash are searched
+exactly over all vectors (one pass, in blocks), and so many lists are probed that RECALL of their true neighbours lie in
+them, and as many as hold SHORTLIST entries. Data without clusters need most lists, others few. Entries are dealt by hash into blocks of bounded size, whatever their list, and a
 block is scanned for a bounded number of queries at a time; the SHORTLIST nearest by table are
 reranked by the exact cosine in double precision.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE, MOST_LISTS, SUBSPACES, CODES, SHORTLIST, PROBES, PROBE_SHARE = 16_384, 1024, 16, 256, 256, 24, 0.6
+SAMPLE, MOST_LISTS, SUBSPACES, CODES, SHORTLIST = 16_384, 1024, 16, 256, 256
+TRIALS, RECALL = 256, 0.97
 ENTRY_BLOCK, LEAST_BLOCKS, QUERY_BLOCK = 65_536, 16, 1024
 
 
@@ -101,6 +102,37 @@ def classes(embeddings: DataFrame, keep: int) -> DataFrame:
     return least.groupBy("h1", "h2").agg(F.min_by("v", "place").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
+def needed_probes(index, built: Index, every_class: DataFrame, trials: list, k: int) -> int:
+    """The nearest lists that hold RECALL of the k true neighbours of the trial vectors (h1, h2, v)."""
+    asked, own = unit([t.v for t in trials]), {(t.h1, t.h2): n for n, t in enumerate(trials)}
+    shared = every_class.sparkSession.sparkContext.broadcast((asked, own))
+
+    def run(batches):
+        x, mine = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            u = unit(list(pdf["v"]))
+            score = u @ x.T
+            for row, key in enumerate(zip(pdf["h1"], pdf["h2"])):
+                if key in mine:
+                    score[row, mine[key]] = -2  # the trial vector itself
+            top = np.argsort(-score, axis=0, kind="stable")[:k]
+            trial = np.tile(np.arange(len(x)), len(top))
+            lists = nearest(u, index.value.centroids)[top.ravel()]
+            yield pd.DataFrame({"trial": trial.astype(np.int32), "score": score[top.ravel(), trial], "list": lists.astype(np.int32)})
+
+    found = every_class.select("h1", "h2", "v").mapInPandas(run, "trial int, score double, list int").where("score > -2")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "list"))
+    best = found.withColumn("place", place).where(F.col("place") <= k).select("trial", "list").collect()
+    if not best:
+        return len(built.centroids)
+    c = built.centroids
+    order = np.argsort((c * c).sum(axis=1) / 2 - asked @ c.T, axis=1, kind="stable")
+    rank = np.argsort(order, axis=1)[[r.trial for r in best], [r.list for r in best]]
+    return int(np.sort(rank)[min(len(rank) - 1, math.ceil(RECALL * len(rank)) - 1)]) + 1
+
+
 def _scan(index):
     def run(key, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(queries):
@@ -160,7 +192,6 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probe
 
     entries = written(every_class.mapInPandas(encode, "list int, rep long, h1 long, h2 long, code binary"), "index")
     held = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}
-    probes = max(PROBES, math.ceil(PROBE_SHARE * len(built.centroids))) if probes is None else probes
     blocks = max(LEAST_BLOCKS, -(-n // ENTRY_BLOCK))
     sizes = np.array([held.get(i, 0) for i in range(len(built.centroids))])
 
@@ -168,6 +199,10 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probe
     asked = embeddings.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.xxhash64("embedding").alias("q1"), F.xxhash64(F.lit(17), F.col("embedding")).alias("q2")).distinct()
     queries = written(asked.select("q1", "q2").distinct().join(every_class.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "v"), ["q1", "q2"]), "query-classes")
 
+    if probes is None:
+        trials = queries.orderBy("q1", "q2").limit(TRIALS).select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "v").collect()
+        probes = needed_probes(index, built, every_class, trials, k) if trials else 1
+
     def probe(batches):
         for pdf in batches:
             if not len(pdf):
@@ -179,13 +214,25 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, probe
             take = ((np.arange(len(c))[None, :] < probes) | (before < SHORTLIST)) & (sizes[order] > 0)
             chosen = np.zeros(take.shape, bool)
             np.put_along_axis(chosen, order, take, axis=1)
-            yield pd.DataFrame({"q1": pdf["q1"], "q2": pdf["q2"], "v": pdf["v"], "lists": [r.tobytes() for r in np.packbits(chosen, axis=1)]})
+            yield pd.DataFrame({"q1": pdf["q1"], "q2": pdf["q2"], "v": pdf["v"], "own": order[:, 0].astype(np.int32), "lists": [r.tobytes() for r in np.packbits(chosen, axis=1)], "probed": [np.flatnonzero(r).astype(np.int32) for r in chosen]})
 
     kind = "float" if "float" in dict(every_class.dtypes)["v"] else "double"
-    query_parts = max(1, -(-queries.count() // QUERY_BLOCK))
     each = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
-    probed = written(queries.mapInPandas(probe, f"q1 long, q2 long, v array<{kind}>, lists binary").withColumn("part", F.pmod("q1", F.lit(query_parts)).cast("int")), "probes")
-    placed = entries.withColumn("block", F.pmod(F.xxhash64("rep", "h1"), F.lit(blocks)).cast("int")).withColumn("part", each(query_parts))
+    probed = written(queries.mapInPandas(probe, f"q1 long, q2 long, v array<{kind}>, own int, lists binary, probed array<int>"), "probes")
+    # parts of at most QUERY_BLOCK queries: of several small lists, or of a share of a large one
+    asking, first, share, at, room = {r["own"]: r["count"] for r in probed.groupBy("own").count().collect()}, {}, {}, 0, QUERY_BLOCK
+    for own in sorted(asking):
+        share[own] = -(-asking[own] // QUERY_BLOCK)
+        if asking[own] > room:
+            at, room = at + 1, QUERY_BLOCK
+        first[own] = at
+        at, room = (at, room - asking[own]) if share[own] == 1 else (at + share[own], QUERY_BLOCK)
+    parts = F.broadcast(spark.createDataFrame([(own, first[own], share[own]) for own in first], "own int, first int, share int"))
+    probed = written(probed.join(parts, "own").withColumn("part", (F.col("first") + F.pmod("q1", F.col("share"))).cast("int")).drop("own", "first", "share"), "probes")
+    # an entry goes to the parts that probe its list, no others
+    wanted = probed.select(F.col("part").alias("to"), F.explode("probed").alias("list")).distinct()
+    placed = entries.withColumn("block", F.pmod(F.xxhash64("rep", "h1"), F.lit(blocks)).cast("int")).join(wanted, "list").withColumnRenamed("to", "part")
+    probed = probed.drop("probed")
     scanned = placed.groupBy("block", "part").cogroup(probed.withColumn("block", each(blocks)).groupBy("block", "part")).applyInPandas(_scan(index), "q1 long, q2 long, h1 long, h2 long, distance double")
     place = F.row_number().over(Window.partitionBy("q1", "q2").orderBy("distance", "h1", "h2"))
     short = scanned.withColumn("place", place).where(F.col("place") <= SHORTLIST).select("q1", "q2", "h1", "h2")

@@ -61,12 +61,20 @@ def test_copies_ties_and_unsound_rows(spark):
     assert recall(got, want) >= 0.9
 
 
-def test_recall_does_not_fall_with_the_number_of_lists(spark):
-    """Vectors as shapeless as the driver's: 6,000 of 64 dimensions are 77 lists."""
-    x = np.random.default_rng(1).normal(size=(6000, 64)).astype(np.float32)
+@pytest.mark.parametrize("shape", ["gaussian", "clusters"])
+def test_recall_at_twenty_thousand_vectors(spark, shape, monkeypatch):
+    """Shapeless vectors, and ones in tight clusters, for which few lists are probed; the queries come in several parts."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 70)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_000, 64))
+    if shape == "clusters":
+        x = rng.normal(size=(200, 64))[rng.integers(0, 200, 20_000)] + 0.2 * x
+    x, seen, needed = x.astype(np.float32), [], ann.needed_probes
+    monkeypatch.setattr(ann, "needed_probes", lambda *a: seen.append(needed(*a)) or seen[-1])
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
     want = brute([(i, v.tolist(), 0) for i, v in enumerate(x)], every=100)
     assert recall(answers(ann.nearest_neighbours(df, every=100)), want) >= 0.9
+    assert seen[0] < 30 if shape == "clusters" else seen[0] > 30
 
 
 def test_few_and_no_rows(spark):
