@@ -38,10 +38,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import claim_memo, task_memo
+from .common import claim_memo, give_back, task_memo
 
 #: Words in the memo; their longest; characters encoded at a time; slots of the table of checked pairs.
-WORDS, LONGEST, GROUP, PAIR_BITS = 150_000, 128, 1 << 20, 18
+WORDS, LONGEST, GROUP, PAIR_BITS = 100_000, 128, 1 << 20, 18
 NEVER = 1 << 40
 #: White space, and ASCII characters that some programs take for it.
 GAP, ODD_ASCII = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), re.compile(r"[\x1c-\x1f]")
@@ -110,8 +110,7 @@ class Merges:
         self.base = {s[0]: i for i, s in self.spelled.items() if len(s) == 1}
         self.born = np.full(self.size, -1, np.int64)
         self.left, self.right = np.full(self.size, -1, np.int64), np.full(self.size, -1, np.int64)
-        self.rank: dict[int, int] = {}
-        self.makes: dict[int, int] = {}
+        made_by, keys = [], []
         for n, pair in enumerate(merges):
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ", 1)
             if a + b in vocab:
@@ -119,8 +118,10 @@ class Merges:
                 if max(self.born[x], self.born[y]) >= n or self.born[made] >= 0:
                     raise ValueError("merges are not in the order in which they make their tokens")
                 self.born[made], self.left[made], self.right[made] = n, x, y
-                self.rank[x << 20 | y], self.makes[n] = n, made
-        self.ranks = Table(np.array(list(self.rank), np.int64), np.array(list(self.rank.values()), np.int64))
+                made_by.append(made)
+                keys.append(x << 20 | y)
+        self.made_by = np.array(made_by, np.int64)
+        self.ranks = Table(np.array(keys, np.int64), self.born[self.made_by])
         made = np.flatnonzero(self.born >= 0)
         whole = np.zeros(self.size, bool)
         whole[list(self.base.values())] = True
@@ -151,11 +152,11 @@ class Merges:
         """Merging by the definition: the lowest-ranked pair first, the leftmost of equals."""
         ids = [self.base[x] for x in symbols]
         while len(ids) > 1:
-            best = min(((self.rank.get(ids[i] << 20 | ids[i + 1], NEVER), i) for i in range(len(ids) - 1)))
-            if best[0] == NEVER:
+            ranks = self.ranks.get(np.array(ids[:-1], np.int64) << 20 | np.array(ids[1:], np.int64))
+            if (ranks < 0).all():
                 break
-            i = best[1]
-            ids[i : i + 2] = [self.makes[best[0]]]
+            i = int(np.where(ranks < 0, NEVER, ranks.astype(np.int64)).argmin())
+            ids[i : i + 2] = [int(self.made_by[np.searchsorted(self.born[self.made_by], ranks[i])])]
         return ids
 
     def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
@@ -349,7 +350,8 @@ class Tokenizer:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True)))) if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
-        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self.normalizer = tokenizers.Tokenizer.from_str(json.dumps(bare)).normalizer
         self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True)
         self.encoder = Encoder(self.merges)
         strings, spelled, suffix = self.merges.strings, self.merges.spelled, self.merges.suffix
@@ -357,6 +359,7 @@ class Tokenizer:
         self.id_text = [str(i) for i in ids]
         self.library_bytes = [(self.special.get(i) or strings.get(i, "")).encode() for i in ids]
         self.own_bytes = [self.special[i].encode() if i in self.special else bytes(x & 255 for x in spelled.get(i, ())) + (b" " if suffix and i in spelled and spelled[i][-1] > 255 else b"") for i in ids]
+        strings.clear()
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -517,7 +520,9 @@ class Tokenizer:
 
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    own = Tokenizer(path)
+    give_back()
+    return own
 
 
 def tokenizer(path: str) -> Tokenizer:

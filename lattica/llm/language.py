@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import task_memo
+
 FOLDS = 5
 SAMPLE_ALL, SAMPLE_DOCS, SAMPLE_CHARS = 8192, 128, 4000
 SEGMENT, CONTEXT, HIDDEN, ROWS = 480, 16, 8, 1024
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 scores.append(0.0 if p is None else min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return keyed.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return keyed.mapInArrow(task_memo(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label_documents(docs: DataFrame, least: float) -> DataFrame:
@@ -284,7 +286,7 @@ def label_documents(docs: DataFrame, least: float) -> DataFrame:
             labels = [own.labels[int(p.argmax())] if k else None for p, k in zip(found, keep)]
             yield batch.set_column(lang_at, "lang", pa.array(labels, pa.string())).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task_memo(run), docs.schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, sieve, written
+from .common import join_counted, sieve, task_memo, written
 
 #: The kinds in order, and their patterns. A digit before an address can't start
 #: another match, so the look-behind changes no result; it spares long digit runs a second look.
@@ -151,7 +151,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     columns[2].extend(terms)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["text_key", "entity", "term"])
 
-    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "text_key long, entity long, term long")
+    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(task_memo(run), "text_key long, entity long, term long")
 
 
 def _term_set(terms: DataFrame) -> np.ndarray:
@@ -186,7 +186,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
         if count:
             yield counted(count)
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("docs"))
+    return docs.select("text").mapInArrow(task_memo(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("docs"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def sanitise(docs: DataFrame, reveals: DataFrame | None = None) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string")
+    return rows.mapInArrow(task_memo(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
             yield out.select(docs_columns)
 
     docs_columns = docs.columns
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(task_memo(run), docs.schema)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

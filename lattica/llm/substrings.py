@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, written
+from .common import join_counted, task_memo, written
 
 RADIUS, MOST, WINDOW, MARGIN = 32, 256, 32, 64
 WINDOW_WORDS, PICK, SEED_WORDS = 42, 9, 6
@@ -148,7 +148,7 @@ def chunks(keyed: DataFrame) -> DataFrame:
                 kinds = (np.int32, np.int16, np.int16, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(parts, np.int64), sizes)), *(pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds))], ["part", "start", "size", "words", "digest"])
 
-    return keyed.select("part", "text").mapInArrow(run, "part long, start int, size short, words short, digest long")
+    return keyed.select("part", "text").mapInArrow(task_memo(run), "part long, start int, size short, words short, digest long")
 
 
 def regions_of(starts, sizes, words) -> list[tuple[int, int]]:
@@ -200,7 +200,7 @@ def windows(texts: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((parts, np.int64), (firsts, np.int64), (los, np.int32), (his, np.int32), (keys, np.int64))], ["part", "first", "lo", "hi", "key"])
 
-    return texts.select("part", "first", "text", "spans").mapInArrow(run, "part long, first long, lo int, hi int, key long")
+    return texts.select("part", "first", "text", "spans").mapInArrow(task_memo(run), "part long, first long, lo int, hi int, key long")
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
