@@ -107,7 +107,7 @@ def _json_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "nation").select(line.alias("value"))
     rows.unionAll(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
     kind = "k string, name string, more struct<list: array<int>>, bad string"
-    found = spark.read.schema(kind).json(path, allowComments=True, allowSingleQuotes=True, allowUnquotedFieldNames=True, allowNumericLeadingZeros=True, columnNameOfCorruptRecord="bad")
+    found = spark.read.schema(kind).options(allowComments="true", allowSingleQuotes="true", allowUnquotedFieldNames="true", allowNumericLeadingZeros="true", columnNameOfCorruptRecord="bad").json(path)
     return found.select(F.col("k").cast("int").alias("k"), "name", F.col("more.list")[1].alias("region"), "bad")
 
 
