@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +24,13 @@ def read_relation(spark: SparkSession, path: str, schema: str, separator: str |
 def read_facts(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """Relations of a fact file: lines `all name` begin a relation, comma-separated rows follow.
 
-    A whole file is read as one text each, as its lines have an order."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
+    A whole file is read as one text each, as its lines have an order; large relations belong in delimited files."""
     head = r"^\s*all\s+(\w+)\s*$"
-    step = F.aggregate(
-        "lines", F.struct(F.lit("").alias("name"), F.array().cast("array<struct<name:string,line:string>>").alias("rows")),
-        lambda acc, x: F.when(x.rlike(head), F.struct(F.regexp_extract(x, head, 1).alias("name"), acc["rows"].alias("rows")))
-        .when((F.trim(x) == "") | (acc["name"] == ""), acc)
-        .otherwise(F.struct(acc["name"].alias("name"), F.concat(acc["rows"], F.array(F.struct(acc["name"].alias("name"), x.alias("line")))).alias("rows"))),
-    )
-    rows = lines.select(F.explode(step["rows"]).alias("r")).select("r.name", F.split("r.line", r"\s*,\s*").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    begins = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1))
+    named = files.withColumn("name", F.last(begins, ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
+    kept = named.where(F.col("name").isNotNull() & ~F.col("line").rlike(head) & (F.trim("line") != ""))
+    rows = kept.select("name", F.split("line", r"\s*,\s*").alias("v"))
     out = {}
     for name, schema in schemas.items():
         kind = T._parse_datatype_string(schema)

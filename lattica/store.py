@@ -13,9 +13,11 @@ BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (one machine), a temporary folder."""
+    """The session's spark.checkpoint.dir; where it is unset, on one machine, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
