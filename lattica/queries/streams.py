@@ -98,6 +98,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(query.name == name, query.isActive, query.exception() is None, rows, ",".join(seen))], "named boolean, active boolean, sound boolean, n long, told string")
 
 
+def idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who were idle for an hour before the watermark, ten minutes before the last event; the others stay in the state."""
+    return windows.run_to_end(windows.idle_users(_stream(spark, sf_dir), "10 minutes", 3_600_000), "idle", "append").select("user_id", "n", F.floor(F.col("last_ms") / 1000).alias("last_s"))
+
+
 WINDOWED = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL {w} HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS s, event_type, value FROM events, {ks}) GROUP BY s, event_type"
 PROGRAMS = {
     "stream_tumbling_window": (tumbling, WINDOWED.format(w=1, ks="(VALUES (0)) t(k)")),
@@ -106,6 +111,7 @@ PROGRAMS = {
     "stream_append_mode": (append_mode, "SELECT event_id, user_id FROM events WHERE event_type = 'click'"),
     "stream_deduplicate": (deduplicated, "SELECT DISTINCT event_id FROM events"),
     "stream_keyed_state": (keyed_state, "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"),
+    "stream_state_timeout": (idle, "SELECT user_id, count(*) AS n, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"),
     "stream_memory_sink": (memory_sink, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type"),
     "stream_progress": (progress, "SELECT true AS named, false AS active, true AS sound, count(*) AS n, 'started,ended' AS told FROM events"),
     "stream_sessions": (sessions, "SELECT user_id, CAST(sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id"),

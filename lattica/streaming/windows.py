@@ -58,6 +58,25 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
+def idle_users(events: DataFrame, watermark: str, gap_ms: int) -> DataFrame:
+    """(user_id, n, last_ms) of users once the watermark has passed their last event by a gap: state with a
+    timeout in event time, so it holds only users who are not idle yet."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_ms": [last]})
+            return
+        for pdf in batches:
+            n, last = n + len(pdf), max(last, int(pdf["ms"].max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(last + gap_ms)
+
+    marked = _marked(events, watermark).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    return marked.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, last_ms long", "n long, last_ms long", "append", "EventTimeTimeout")
+
+
 def run_to_end(stream: DataFrame, label: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and read what it wrote: in complete mode the last result,
     else all rows of all batches with their batch number as `batch__`."""
