@@ -106,7 +106,10 @@ def join_counted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left joined with right(key, n, ...), which has each key once and how many rows of left have it. Keys of
     more than HOT_ROWS rows and of more than a HOT_KEYS-th of all rows, so at most HOT_KEYS of them, are joined by
     broadcast: their rows stay where they are and no task gets all rows of one."""
-    limit = max(HOT_ROWS, left.count() // HOT_KEYS)
+    total, most = right.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit:
+        return left.join(right, key)
     hot = written(right.where(F.col("n") > limit), "hot-keys")
     known = F.broadcast(hot)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= limit), key)

@@ -1,7 +1,7 @@
 """Connected components of a link table by large-star and small-star steps.
 
 Every step is a minimum by node and a join with the links, so a node of very many links is
-summed before the exchange and split in the join. Each round is written to the shared folder.
+summed before the exchange, and joined by broadcast. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 MOST_ROUNDS = 60
 
@@ -22,8 +22,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         # large star: every larger neighbour of a node gets the least of the node's surroundings
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), label)
+        large = join_counted(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours and the node itself get the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")

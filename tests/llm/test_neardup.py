@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from lattica.llm import neardup
+from lattica.llm import common, neardup
 
 from .tables import clashing, documents, frame, words
 
@@ -47,6 +47,8 @@ def test_against_all_pairs(spark, width, num):
 
 def test_blocks_of_large_lists_and_clusters(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)  # hubs by broadcast
+    monkeypatch.setattr(common, "HOT_KEYS", 500)
     rows = documents(seed=3)
     assert answer(neardup.near_duplicates(frame(spark, rows), 3, 85, 100)) == brute(rows, 3, 85, 100)
 
