@@ -36,7 +36,8 @@ def frequent_itemsets(baskets: DataFrame, support: int, most: int | None = None)
     """(items, size, support) of every set of items that `support` baskets hold; baskets(basket, item).
 
     Level by level: candidates join two frequent sets that differ in their last item and are kept only
-    if all their subsets are frequent; baskets are reduced to frequent items first."""
+    if all their subsets are frequent; baskets are reduced to frequent items first. Sets of a basket are counted as
+    they are made and only frequent ones are written, so a long basket costs time, not room."""
     store = Store(baskets.sparkSession, "itemsets")
     b = baskets.toDF("basket", "item").distinct()
     single = b.groupBy("item").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
@@ -56,10 +57,9 @@ def frequent_itemsets(baskets: DataFrame, support: int, most: int | None = None)
         held = holders.join(b.toDF("basket", "more"), "basket").where(F.col("more") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("more")).alias("items"))
         if size > 1:
             held = held.join(candidates, "items", "left_semi")
-        held = store.written(held)
         size += 1
         level = store.written(held.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support))
-        holders = held.join(level.select("items"), "items", "left_semi").select("basket", "items")
+        holders = store.written(held.join(level.select("items"), "items", "left_semi").select("basket", "items"))
         out = out.unionByName(level)
     return out.select("items", F.size("items").alias("size"), "support")
 
