@@ -73,47 +73,36 @@ def association_rules(itemsets: DataFrame, confidence: float) -> DataFrame:
 
 
 def decision_tree(train: DataFrame, label: str, features: list[str], depth: int = 3) -> list[dict]:
-    """A tree over categorical features by least Gini impurity, grown level by level: one aggregation over
-    the rows gives the counts of all open nodes. Returns its nodes, a bounded number for a given depth:
-    {path: ((feature, value), ...), feature or None, label}."""
-    rows = train.select(label, *features).na.fill("")
-    nodes, open_paths = [], [()]
+    """A tree over categorical features by least Gini impurity (of equals the first feature by name), grown level by
+    level. Rows carry the key of their open node; counts by value stay distributed, and only a row for each open
+    node and feature reaches the driver. Returns the tree's nodes:
+    {path: ((feature, value), ...), feature or None, label, rows}."""
+    store = Store(train.sparkSession, "tree")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = store.written(train.select(F.lit("").alias("node"), text(label).alias("y"), F.array(*(F.struct(F.lit(f).alias("f"), text(f).alias("v")) for f in sorted(features))).alias("fv")))
+    nodes, paths = [], {"": ()}
     for level in range(depth + 1):
-        grown = []
-        if not open_paths:
-            break
-        match = F.lit(-1)
-        for i, path in enumerate(open_paths):
-            here = F.lit(True)
-            for f, v in path:
-                here &= F.col(f).cast("string") == F.lit(str(v))
-            match = F.when(here, i).otherwise(match)
-        pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in features))).alias("fv")
-        counts = rows.select(match.alias("node"), F.col(label).cast("string").alias("y"), pairs).where("node >= 0").groupBy("node", "fv.f", "fv.v", "y").count().collect()
-        table: dict = {}
-        for r in counts:
-            table.setdefault(r.node, {}).setdefault(r.f, {}).setdefault(r.v, {})[r.y] = r["count"]
-        for i, path in enumerate(open_paths):
-            by_feature = table.get(i, {})
-            if not by_feature:
-                continue
-            classes: dict = {}
-            for ys in next(iter(by_feature.values())).values():
-                for y, n in ys.items():
-                    classes[y] = classes.get(y, 0) + n
-            best_label = min(classes, key=lambda y: (-classes[y], y))
-            used = {f for f, _ in path}
-            best = None
-            for f in sorted(set(by_feature) - used):
-                total = sum(classes.values())
-                impurity = sum(sum(ys.values()) / total * (1 - sum((n / sum(ys.values())) ** 2 for n in ys.values())) for ys in by_feature[f].values())
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (impurity, f)
-            split = best[1] if level < depth and len(classes) > 1 and best else None
-            nodes.append({"path": path, "feature": split, "label": best_label, "rows": sum(classes.values())})
+        classes = rows.groupBy("node", "y").count().groupBy("node").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("label"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        values = rows.select("node", "y", F.explode("fv").alias("x")).groupBy("node", "x.f", "x.v", "y").count().groupBy("node", "f", "v").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"))
+        impurity: dict[str, list] = {}
+        for r in values.groupBy("node", "f").agg((F.sum(F.col("n") - F.col("squares") / F.col("n")) / F.sum("n")).alias("g")).collect():
+            impurity.setdefault(r.node, []).append((round(r.g, 12), r.f))
+        splits = []
+        for r in classes.orderBy("node").collect():
+            used = {f for f, _ in paths[r.node]}
+            best = min((x for x in impurity[r.node] if x[1] not in used), default=None)
+            split = best[1] if best and level < depth and r.kinds > 1 else None
+            nodes.append({"path": paths[r.node], "feature": split, "label": r.label, "rows": r.n})
             if split:
-                grown += [(*path, (split, v)) for v in sorted(by_feature[split])]
-        open_paths = grown
+                splits.append((r.node, split))
+        if not splits:
+            break
+        chosen = F.broadcast(train.sparkSession.createDataFrame(splits, "at string, split string"))
+        value = F.filter("fv", lambda x: x["f"] == F.col("split"))[0]["v"]
+        moved = rows.join(chosen, F.col("node") == F.col("at")).select("at", "split", value.alias("value"), "y", "fv")
+        rows = store.written(moved.select(F.concat_ws("\u0001", "at", "split", "value").alias("node"), "y", "fv", "at", "split", "value"))
+        paths = {r.node: (*paths[r["at"]], (r.split, r.value)) for r in rows.select("node", "at", "split", "value").distinct().collect()}
+        rows = rows.select("node", "y", "fv")
     return nodes
 
 

@@ -296,7 +296,9 @@ def _user_aggregate(s: SparkSession, d: str) -> DataFrame:
 NEAR = "SELECT vec_id, arg_min(center, (d, center)) AS center FROM (SELECT v.vec_id, c.center, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN {c} c) GROUP BY vec_id"
 MOVED = "SELECT c.center, coalesce(m.x, c.x) AS x FROM {r} c LEFT JOIN (SELECT center, list(a ORDER BY i) AS x FROM (SELECT near.center, t.i, avg(v.x[t.i]) AS a FROM ({near}) near JOIN v ON v.vec_id = near.vec_id, unnest(range(1, len(v.x) + 1)) t(i) GROUP BY near.center, t.i) GROUP BY center) m ON c.center = m.center"
 add("mining_kmeans", _kmeans, rounds("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS center, x FROM (SELECT * FROM v ORDER BY vec_id LIMIT 4)", MOVED.replace("{near}", NEAR.replace("{c}", "{r}")), 3, "SELECT vec_id AS id, center FROM (" + NEAR.replace("{c}", "{r}") + ")", "v AS (SELECT vec_id, list_transform(embedding, lambda y: y::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL)"))
-add("mining_decision_tree", _tree, None)
+# after both features each row has the label most frequent among rows with its values, whichever feature came first
+add("mining_decision_tree", _tree,
+    "WITH t AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, year(o_orderdate) AS y FROM orders), c AS (SELECT p, y, arg_min(s, (-n, s)) AS predicted FROM (SELECT p, y, s, count(*) AS n FROM t GROUP BY p, y, s) GROUP BY p, y) SELECT o_orderkey, predicted FROM t JOIN c ON t.p = c.p AND t.y = c.y")
 
 QUERIES = {name: q for name, (q, _) in PROGRAMS.items()}
 ORACLE_SQL = {name: text for name, (_, text) in PROGRAMS.items() if text}
