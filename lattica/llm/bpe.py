@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from .common import claim_memo, give_back, task_memo
 
 #: Words in the memo; their longest; characters encoded at a time; slots of the table of checked pairs.
-WORDS, LONGEST, GROUP, PAIR_BITS = 100_000, 128, 1 << 20, 18
+WORDS, LONGEST, GROUP, PAIR_BITS = 80_000, 128, 1 << 19, 18
 NEVER = 1 << 40
 #: White space, and ASCII characters that some programs take for it.
 GAP, ODD_ASCII = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), re.compile(r"[\x1c-\x1f]")

@@ -30,7 +30,7 @@ from .common import task_memo
 
 FOLDS = 5
 SAMPLE_ALL, SAMPLE_DOCS, SAMPLE_CHARS = 8192, 128, 4000
-SEGMENT, CONTEXT, HIDDEN, ROWS = 480, 16, 8, 1024
+SEGMENT, CONTEXT, HIDDEN, ROWS = 480, 16, 8, 384
 TRAIN_BYTES, TRAIN_ROWS, TRAIN_STEPS = 64, 256, 400
 LETTER = regex.compile(r"\p{L}")
 POOLED = np.array([b >= 0x80 or 97 <= b <= 122 for b in range(256)])

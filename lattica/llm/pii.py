@@ -47,7 +47,7 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 
 GENERALISE, REMOVE = 0.8, 0.95
 #: Bits of the set of terms in question (2 MB), and terms that a task counts before it hands them on.
-TERM_BITS, MOST_TERMS = 24, 300_000
+TERM_BITS, MOST_TERMS = 24, 200_000
 REVEALS = "array<struct<entity:bigint,term:bigint,ratio:double>>"
 
 
