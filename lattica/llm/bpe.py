@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from .common import claim_memo, give_back, task_memo
 
 #: Words in the memo; their longest; characters encoded at a time; slots of the table of checked pairs.
-WORDS, LONGEST, GROUP, PAIR_BITS = 80_000, 128, 1 << 19, 18
+WORDS, LONGEST, GROUP, PAIR_BITS = 150_000, 128, 1 << 19, 18
 NEVER = 1 << 40
 #: White space, and ASCII characters that some programs take for it.
 GAP, ODD_ASCII = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), re.compile(r"[\x1c-\x1f]")
@@ -145,6 +145,7 @@ class Merges:
         self.more[np.array(list(self.children), np.int64) >> 9] = True
         self.token_of, self.has_more = token, self.more.tolist()
         self.lookahead = max((len(s) for i, s in self.spelled.items() if whole[i]), default=1) - 1
+        self.numbers = list(range(self.size))  # one object for each id, which all words' tokens share
         self._checked: dict[int, bool] = {}
         self._keys, self._apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
@@ -242,7 +243,7 @@ class Merges:
             rows, at = rows[on], at[on]
         out: list[tuple[int, ...]] = [()] * len(words)
         for i, k, ids in zip(order.tolist(), n.tolist(), back.tolist()):
-            out[i] = tuple(ids[k - 1 :: -1]) if k else ()
+            out[i] = tuple(map(self.numbers.__getitem__, ids[k - 1 :: -1])) if k else ()
         return out
 
 
