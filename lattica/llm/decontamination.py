@@ -6,10 +6,9 @@ inverse document frequencies and a basis of at most FEATURES x RANK numbers.
 
 1. Each whole text becomes the numbers of its words in the block's vocabulary, written once; document
    frequencies are counted over all documents.
-2. A randomised SVD of the TF-IDF rows (by the root of the inverse document frequency) of the items and of a bounded sample of corpus passages
-   (documents of least hash, FIT_DOCS of them at most, of each FIT_PASSAGES passages spread over the whole text)
-   gives the basis, which is the index of the search: partitions apply the range finder to their own
-   rows, and one task adds up the small matrices.
+2. A randomised SVD of the TF-IDF rows (by the root of the inverse document frequency) of the items and of every passage of
+   PASSAGE words of every document gives the basis, which is the index of the search: partitions apply the range finder
+   to their own rows, in dense blocks of few passages, and the small matrices are added up by ranges of features.
 3. Every passage of every document (overlapping windows of each width in WIDTHS, a step of STEP words) is
    folded into the basis, and its cosine with every item of about that length is taken, in blocks. Items with
    COSINE or more are its candidates. Only what can't be confirmed is left out, by a proved bound:
@@ -32,7 +31,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import repeat
+from itertools import compress, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import task_memo, written
 
 ITEMS, FEATURES, RANK, OVERSAMPLE = 1024, 1 << 16, 128, 8
-FIT_DOCS, FIT_PASSAGES, FIT_PARTS, PASSAGE = 2048, 32, 8, 32
+#: Words of a passage that the basis is fitted on, and features of a matrix that are added up in one piece.
+PASSAGE, PIECE = 32, 64
 STEP, WIDTHS, COSINE = 8, (24, 40, 64), 0.3
 LCS, LCS_ANSWER, RUN = 0.6, 0.5, 13
 #: Words of texts that are searched at a time.
@@ -131,18 +132,29 @@ class Items:
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = np.sqrt(np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
 
-    def row(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The features and TF-IDF weights, of length 1, of a passage."""
-        x, count = np.unique(ids, return_counts=True)
+    def rows(self, passage: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, TF-IDF weight) of passages, each of length 1, from words with their passages' numbers. Rows
+        are counted from 0; a passage without words has none."""
+        key, count = np.unique(passage * len(self.vocab) + ids, return_counts=True)
+        own, x = np.divmod(key, len(self.vocab))
+        row = np.cumsum(np.diff(own, prepend=own[:1]) != 0)
         v = count * self.idf[x]
-        return x % self.width, v / (np.linalg.norm(v) or 1.0)
+        return row, x % self.width, (v / np.sqrt(np.bincount(row, v * v))[row]).astype(np.float32)
 
-    def applied(self, rows: list, q: np.ndarray) -> np.ndarray:
-        """A^T A q for the TF-IDF rows."""
-        out = np.zeros_like(q)
-        for x, v in rows:
-            np.add.at(out, x, v[:, None] * (v @ q[x])[None, :])
-        return out
+    def row(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features and TF-IDF weights, of length 1, of a passage."""
+        return self.rows(np.zeros(len(ids), np.int64), ids)[1:]
+
+    def add_applied(self, passage: np.ndarray, ids: np.ndarray, q: np.ndarray, out: np.ndarray) -> int:
+        """Add A^T A q for the TF-IDF rows of passages to out; the number of rows."""
+        if not len(ids):
+            return 0
+        row, x, v = self.rows(passage, ids)
+        features, column = np.unique(x, return_inverse=True)
+        a = np.zeros((int(row[-1]) + 1, len(features)), np.float32)
+        np.add.at(a.reshape(-1), row * len(features) + column, v)
+        out[features] += a.T @ (a @ q[features])
+        return len(a)
 
     def use_basis(self, basis: np.ndarray) -> None:
         """Fold the items into the latent space."""
@@ -161,7 +173,7 @@ class Items:
         return np.flatnonzero(np.bincount(self.owner[at], self.number[at], len(self.ids)) >= self.needed)
 
     def near(self, texts: list[np.ndarray], items: list[np.ndarray]):
-        """(text, item, lo, hi): passages of each text with a cosine of COSINE or more with one of its items. The
+        """(text, (item, lo, hi)): passages of each text with a cosine of COSINE or more with one of its items. The
         texts lie one behind the other, each from the beginning of a block of STEP words on; no passage reaches into the next."""
         sizes = np.array([len(t) for t in texts])
         count = -(-sizes // STEP)
@@ -191,7 +203,7 @@ class Items:
             on = allowed[text[lo[at]], own[item]]
             at, item = at[on], own[item[on]]
             n = text[lo[at]]
-            yield from zip(n.tolist(), item.tolist(), ((lo[at] - begin[n]) * STEP).tolist(), np.minimum((hi[at] - begin[n]) * STEP, sizes[n]).tolist())
+            yield from zip(n.tolist(), zip(item.tolist(), ((lo[at] - begin[n]) * STEP).tolist(), np.minimum((hi[at] - begin[n]) * STEP, sizes[n]).tolist()))
 
     def stretches(self, ids: np.ndarray):
         """(item, lo, hi): stretches of RUN words that an item has as well."""
@@ -235,6 +247,23 @@ class Items:
             out.append((i, lo, hi))
         return out
 
+    def supported(self, ids: np.ndarray, found: list[tuple[int, int, int]]):
+        """The passages, given by items, that have enough of the item's words with their surroundings: the first thing that
+        confirmed asks for, of all passages of an item at once. Each different word of the item is a bit; of more than 64 some
+        share one, which then counts as all of them."""
+        bit = np.zeros(len(self.vocab) + 2, np.uint64)
+        for i, own in groupby(found, itemgetter(0)):
+            own, size = list(own), len(self.words[i])
+            words = np.fromiter(self.counts[i], np.int64, len(self.counts[i]))
+            place = np.arange(len(words)) % 64
+            bit[words] = np.uint64(1) << place.astype(np.uint64)
+            weight = np.bincount(place, np.fromiter(self.counts[i].values(), np.int64, len(words)))
+            ends = np.array([(max(0, lo - size), min(hi + size, len(ids))) for _, lo, hi in own]).reshape(-1)
+            there = np.bitwise_or.reduceat(np.append(bit[ids], np.uint64(0)), ends)[::2]
+            bit[words] = 0
+            most = (there[:, None] >> np.arange(len(weight), dtype=np.uint64) & np.uint64(1)).astype(np.float64) @ weight
+            yield from compress(own, (most >= self.needed[i]).tolist())
+
     def matches(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, bool, int]]]:
         """For each text: item number -> (cosine, share of its words in order, answer there, longest stretch)."""
         texts = [t.astype(np.int64) for t in texts]
@@ -246,10 +275,10 @@ class Items:
                 held.append(n)
             if held and (n + 1 == len(texts) or sum(len(texts[m]) for m in held) >= GROUP):
                 near: dict[int, list] = {}
-                for m, *x in self.near([texts[m] for m in held], [items[m] for m in held]):
-                    near.setdefault(held[m], []).append(tuple(x))
+                for m, x in self.near([texts[m] for m in held], [items[m] for m in held]):
+                    near.setdefault(held[m], []).append(x)
                 for m, own in near.items():
-                    found[m] += [(*x, False) for x in self.thinned(own)]
+                    found[m] += [(*x, False) for x in self.supported(texts[m], self.thinned(own))]
                 held = []
         return [self._best(t, own) if own else {} for t, own in zip(texts, found)]
 
@@ -300,41 +329,72 @@ def _document_counts(numbered: DataFrame, items: Items) -> np.ndarray:
     return df
 
 
+def _blocks(texts: list[np.ndarray]):
+    """(passages' numbers, words) of all passages of texts, about GROUP words at a time: a block ends with a passage,
+    so a long text makes several, and has at most 2 * GROUP / PASSAGE passages."""
+    held: list[np.ndarray] = []
+    count = 0
+    for t in texts:
+        for i in range(0, len(t), GROUP):
+            held.append(t[i : i + GROUP])
+            count += -(-len(held[-1]) // PASSAGE)
+            if count * PASSAGE >= GROUP:
+                yield _passages(held)
+                held, count = [], 0
+    if held:
+        yield _passages(held)
+
+
+def _passages(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts])
+    count = -(-sizes // PASSAGE)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(np.cumsum(count) - count, sizes) + place // PASSAGE, np.concatenate(texts).astype(np.int64)
+
+
 def _fit_basis(numbered: DataFrame, items: Items, rows: int) -> np.ndarray:
     """The leading right singular vectors, by a randomised range finder with one power round."""
     spark, kind = numbered.sparkSession, items.kind()
-    share = int(min(1.0, FIT_DOCS / max(1, rows)) * (1 << 20)) + 1
-    chosen = numbered.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < share).select("ids")
-    sample = written(chosen.coalesce(FIT_PARTS), "fit-sample").coalesce(FIT_PARTS)
-    # the items weigh as much as all sampled passages, so that the basis holds their terms
-    scale = max(1.0, FIT_DOCS * 10 / len(items.words)) ** 0.5
-    own_rows = [(x, v * scale) for x, v in (items.row(np.array(w)) for w in items.words)]
 
     def product(q: np.ndarray) -> np.ndarray:
+        q = q.astype(np.float32)
         shared = spark.sparkContext.broadcast((items, q))
 
         def run(batches):
             it, matrix = shared.value
-            out, unknown = np.zeros_like(matrix), len(it.vocab)
+            out, unknown, n = np.zeros(matrix.shape), len(it.vocab), 0
             for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    ids = np.frombuffer(data, kind)
-                    every = range(0, len(ids), PASSAGE)
-                    parts = [ids[i : i + PASSAGE] for i in every[:: -(-len(every) // FIT_PASSAGES)]]
-                    out += it.applied([it.row(p[p < unknown]) for p in parts if (p < unknown).any()], matrix)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["m"])
+                for passage, ids in _blocks([np.frombuffer(data, kind) for data in batch.column(0).to_pylist()]):
+                    known = ids < unknown
+                    n += it.add_applied(passage[known], ids[known], matrix, out)
+            at = range(0, len(out) if n else 0, PIECE)
+            pieces = [out[i : i + PIECE].astype(np.float32).tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int64()), pa.array(pieces, pa.binary())], ["at", "n", "m"])
 
         def summed(batches):
-            out = np.zeros_like(shared.value[1])
+            width = shared.value[1].shape[1]
+            out: dict[int, list] = {}
             for batch in batches:
-                for m in batch.column(0).to_pylist():
-                    out += np.frombuffer(m, np.float32).reshape(out.shape)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["m"])
-
-        total = items.applied(own_rows, q)
-        for r in sample.mapInArrow(task_memo(run), "m binary").repartition(1).mapInArrow(summed, "m binary").collect():
-            total += np.frombuffer(r.m, np.float32).reshape(q.shape)
-        return total
+                for i, n, m in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = out.setdefault(i, [0, 0.0])
+                    own[0] += n
+                    own[1] = own[1] + np.frombuffer(m, np.float32).reshape(-1, width).astype(np.float64)
+            pieces = [m.astype(np.float32).tobytes() for _, m in out.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([n for n, _ in out.values()], pa.int64()), pa.array(pieces, pa.binary())], ["at", "n", "m"])
+
+        total, passages = np.zeros(q.shape), 0
+        if rows:
+            schema = "at int, n long, m binary"
+            for r in numbered.select("ids").mapInArrow(task_memo(run), schema).repartition("at").mapInArrow(task_memo(summed), schema).collect():
+                m = np.frombuffer(r.m, np.float32).reshape(-1, q.shape[1])
+                total[r.at : r.at + len(m)] += m
+                passages = r.n
+        # the items weigh as much as all passages, so that the basis holds their terms
+        own = np.zeros(q.shape)
+        for i in range(0, len(items.words), GROUP // PASSAGE):
+            some = items.words[i : i + GROUP // PASSAGE]
+            items.add_applied(np.repeat(np.arange(len(some)), [len(w) for w in some]), np.concatenate(some), q, own)
+        return total + own * max(1.0, passages / len(items.words))
 
     rank = min(RANK, items.width)
     width = min(rank + OVERSAMPLE, items.width)

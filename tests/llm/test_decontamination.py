@@ -114,6 +114,50 @@ def test_counts_and_basis_by_partitions(spark):
     assert basis.shape == (len(it.vocab), min(dc.RANK, len(it.vocab))) and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
 
 
+def test_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    """Against the full decomposition of all passages of long texts, in which every fourth passage has other words
+    than the rest."""
+    monkeypatch.setattr(dc, "RANK", 8)
+    monkeypatch.setattr(dc, "OVERSAMPLE", 60)
+    monkeypatch.setattr(dc, "GROUP", 1024)  # texts of several blocks
+    rng = random.Random(16)
+    vocab = words(rng, 160)
+    topics = [vocab[i : i + 10] for i in range(0, 160, 10)]
+    items = [(i, " ".join(rng.sample(t, 10))) for i, t in enumerate(topics)]
+    passage = lambda t: [rng.choice(t) if rng.random() < 0.8 else "unknown" for _ in range(dc.PASSAGE)]
+    texts = [[x for p in range(rng.randint(120, 140)) for x in passage(topics[rng.randrange(8) + 8 * (p % 4 > 0)])] for _ in range(20)]
+    rows = [(d, " ".join(w[: len(w) - d]), None, None, None) for d, w in enumerate(texts)]
+    it = dc.Items(items)
+    numbered = dc._numbered(frame(spark, rows).select("doc_id", "text").repartition(3), it)
+    it.weigh(dc._document_counts(numbered, it), len(rows))
+    basis = dc._fit_basis(numbered, it, len(rows)).astype(np.float64)
+    passages = [it.numbers(r[1])[i : i + dc.PASSAGE] for r in rows for i in range(0, len(r[1].split()), dc.PASSAGE)]
+    known = [p[p < len(it.vocab)] for p in passages if (p < len(it.vocab)).any()]
+    scale = (len(known) / len(items)) ** 0.5
+    gram = np.zeros((it.width, it.width))
+    for p, s in [(p, 1.0) for p in known] + [(np.array(w), scale) for w in it.words]:
+        x, c = np.unique(p, return_counts=True)
+        v = c * it.idf[x].astype(np.float64)
+        v *= s / np.linalg.norm(v)
+        gram[np.ix_(x, x)] += np.outer(v, v)
+    best = np.linalg.eigvalsh(gram)[-dc.RANK :].sum()
+    assert np.trace(basis.T @ gram @ basis) >= 0.999 * best
+
+
+def test_supported_passages_are_those_with_enough_words():
+    """Of items of up to 64 different words exactly those, of longer ones none of them is lost."""
+    rng = random.Random(21)
+    vocab = words(rng, 200)
+    it = dc.Items([(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([1, 5, 20, 30, 40, 100, 180])])
+    for n in (1, 7, 60, 900):
+        ids = it.numbers(" ".join(rng.choices([*vocab[:60], "other"], k=n)))
+        found = [(i, lo, min(lo + 24, n)) for i in range(len(it.ids)) for lo in range(0, n, dc.STEP)]
+        around = lambda i, lo, hi: set(ids[max(0, lo - int(it.sizes[i])) : hi + int(it.sizes[i])].tolist())
+        want = [x for x in found if sum(it.counts[x[0]][w] for w in around(*x)) >= it.needed[x[0]]]
+        got = list(it.supported(ids, found))
+        assert set(want) <= set(got) and [x for x in got if len(it.counts[x[0]]) <= 64] == [x for x in want if len(it.counts[x[0]]) <= 64]
+
+
 def test_search_against_all_passages_and_items(spark):
     """Every item against the surroundings of every window: what the rules confirm is found, at least 0.95 of it,
     of paraphrases of every degree; nothing else is reported."""
