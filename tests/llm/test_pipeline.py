@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline as cp
 from lattica.llm import bpe
+from lattica.llm import decontamination as dc
 
-from .tables import words
+from .tables import frame, words
 
 
 def test_stages_take_effect(spark, data, tmp_path):
@@ -40,3 +41,19 @@ def test_stages_take_effect(spark, data, tmp_path):
 def test_run_gives_the_stages_rows(spark, data):
     rows = cp.run(spark, data).collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_leaks_by_a_basis_of_every_passage(spark, tmp_path, monkeypatch):
+    """With one direction only, the basis is that of the words in three passages of four of long texts."""
+    monkeypatch.setattr(dc, "RANK", 1)
+    rng = random.Random(4)
+    few, many = ([f"{c}{x}{i}" for i, x in enumerate(words(rng, 20))] for c in "yz")
+    spark.createDataFrame([(1, " ".join(few)), (2, " ".join(many))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = []
+    for d in range(30):  # of less than half of an item's words, so no leaks
+        own = [rng.sample(few, 9), rng.sample(many, 9)]
+        rows.append((d, " ".join(rng.choice(own[p % 4 > 0]) for p in range(128) for _ in range(dc.PASSAGE)), "en", "s", 1))
+    fill = lambda: words(rng, 40)
+    rows.append((100, " ".join(fill() + [x if i % 3 else "other" for i, x in enumerate(many)] + fill()), "en", "s", 1))
+    kept = cp.drop_benchmark_leaks(spark, frame(spark, rows), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == set(range(30))
