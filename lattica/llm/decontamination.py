@@ -11,8 +11,9 @@ inverse document frequencies and a basis of at most FEATURES x RANK numbers.
    to their own rows, in dense blocks of few passages, and the small matrices are added up by ranges of features.
 3. Every passage of every document (overlapping windows of each width in WIDTHS, a step of STEP words) is
    folded into the basis, and its cosine with every item of about that length is taken, in blocks. Items with
-   COSINE or more are its candidates. Only what can't be confirmed is left out, by a proved bound:
-   a common subsequence is no longer than the words, with their numbers, that text and item share.
+   COSINE or more are its candidates. Only what can't be confirmed is left out, by a proved bound, for segments
+   and then for passages, each with its surroundings: a common subsequence is no longer than the words, with their
+   numbers, that these and the item share.
    Besides, common stretches of RUN words are looked up by hash.
 4. Candidates are confirmed on words: a longest common subsequence of at least LCS of the
    item's words within the passage and its surroundings; or of LCS_ANSWER if the item's
@@ -46,9 +47,12 @@ ITEMS, FEATURES, RANK, OVERSAMPLE = 1024, 1 << 16, 128, 8
 PASSAGE, PIECE = 32, 64
 STEP, WIDTHS, COSINE = 8, (24, 40, 64), 0.3
 LCS, LCS_ANSWER, RUN = 0.6, 0.5, 13
-#: Words of texts that are searched at a time.
-GROUP = 1 << 12
+#: Words of texts that are searched at a time, words of a segment (at least; a multiple of STEP), and pairs of segments
+#: and items' words that are compared at a time.
+GROUP, SEGMENT, PAIRS = 1 << 12, 128, 1 << 18
 WORD = re.compile(r"\w+")
+#: The characters of Latin-1, each of which is one byte and stays one when lower-cased: that of a word lower-cased, else a space.
+LATIN = bytes(ord(chr(c).lower()) if WORD.match(chr(c).lower()) else 32 for c in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +61,14 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def latin(text: str) -> bytes | None:
+    """The text in Latin-1, if it has no other characters."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """Longest common subsequence by bit rows of b."""
     places: dict[int, int] = {}
@@ -93,6 +105,11 @@ def run_hashes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range behind the other."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 class Items:
     """A block of items over its own vocabulary."""
 
@@ -100,6 +117,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         texts = [words_of(t) for _, t in rows]
         self.vocab = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}))}
+        self.latin = {b: n for w, n in self.vocab.items() if (b := latin(w)) is not None}
         self.words = [[self.vocab[w] for w in t] for t in texts]
         self.answers = [[self.vocab[w] for w in words_of([s for s in SENTENCE.split(t.strip()) if words_of(s)][-1])] for _, t in rows]
         self.width = min(len(self.vocab), FEATURES)
@@ -123,8 +141,9 @@ class Items:
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The words' numbers, the size of the vocabulary for other words."""
-        words = words_of(text)
-        return np.fromiter(map(self.vocab.get, words, repeat(len(self.vocab))), np.int64, len(words))
+        data = latin(text or "")
+        words, known = (words_of(text), self.vocab) if data is None else (data.translate(LATIN).split(), self.latin)
+        return np.fromiter(map(known.get, words, repeat(len(self.vocab))), np.int64, len(words))
 
     def kind(self) -> type:
         return np.uint16 if len(self.vocab) < 1 << 16 else np.uint32
@@ -164,26 +183,44 @@ class Items:
         self.latent = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.weight2 = np.append(self.idf.astype(np.float64) ** 2, [float(np.median(self.idf)) ** 2, 0.0])  # last: no word
 
-    def possible(self, ids: np.ndarray) -> np.ndarray:
-        """The items of which text can have enough words at all."""
-        x = np.unique(ids)
-        x = x[: np.searchsorted(x, len(self.vocab))]
-        first, count = self.owner_at[x], self.owner_at[x + 1] - self.owner_at[x]
-        at = np.arange(int(count.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(x) else first
-        return np.flatnonzero(np.bincount(self.owner[at], self.number[at], len(self.ids)) >= self.needed)
-
-    def near(self, texts: list[np.ndarray], items: list[np.ndarray]):
-        """(text, (item, lo, hi)): passages of each text with a cosine of COSINE or more with one of its items. The
-        texts lie one behind the other, each from the beginning of a block of STEP words on; no passage reaches into the next."""
+    def possible(self, texts: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
+        """Words of a segment, and for each text (segment, item): whether a passage that begins in the segment can have
+        enough of the item's words with its surroundings. Segments are at least as long as the longest item, so a word is
+        in the reach of few."""
+        around = int(self.sizes.max())
+        length = max(SEGMENT, -(-around // STEP) * STEP)
+        sizes = np.array([len(t) for t in texts])
+        count = -(-sizes // length)
+        end = np.cumsum(sizes)
+        text = np.repeat(np.arange(len(texts)), count)
+        begin = (end - sizes)[text] + (np.arange(len(text)) - (np.cumsum(count) - count)[text]) * length
+        lo, hi = np.maximum(begin - around, (end - sizes)[text]), np.minimum(begin + length + WIDTHS[-1] + around, end[text])
+        words, out = np.concatenate(texts), np.zeros((len(text), len(self.ids)), bool)
+        step = max(1, PAIRS // len(self.owner))
+        for s in range(0, len(text), step):
+            part = slice(s, s + step)
+            n = hi[part] - lo[part]
+            x = words[_ranges(lo[part], n)]
+            on = x < len(self.vocab)
+            segment, x = np.divmod(np.unique(np.repeat(np.arange(len(n)) * len(self.vocab), n)[on] + x[on]), len(self.vocab))
+            owners = self.owner_at[x + 1] - self.owner_at[x]
+            at = _ranges(self.owner_at[x], owners)
+            cell = np.repeat(segment * len(self.ids), owners) + self.owner[at]
+            out[part] = np.bincount(cell, self.number[at], len(n) * len(self.ids)).reshape(len(n), -1) >= self.needed
+        return length, np.split(out, np.cumsum(count)[:-1])
+
+    def near(self, texts: list[np.ndarray], length: int, possible: list[np.ndarray]):
+        """(text, [(item, lo, hi)]), by items: passages of each text with a cosine of COSINE or more with one of the items
+        that are possible in the passage's segment of that length. The texts lie one behind the other, each from the
+        beginning of a block of STEP words on; no passage reaches into the next."""
         sizes = np.array([len(t) for t in texts])
         count = -(-sizes // STEP)
         begin = np.cumsum(count) - count
         total = int(count.sum())
         ids = np.full(total * STEP, len(self.vocab) + 1, np.int64)
-        allowed = np.zeros((len(texts), len(self.ids)), bool)
         for n, t in enumerate(texts):
             ids[begin[n] * STEP : begin[n] * STEP + len(t)] = t
-            allowed[n, items[n]] = True
+        allowed = np.concatenate(possible)
         upto = np.zeros((total + 1, self.folded.shape[1]), np.float32)
         for column in ids.reshape(total, STEP).T:
             upto[1:] += self.folded[column]
@@ -191,6 +228,9 @@ class Items:
         weight = np.concatenate([[0], np.cumsum(self.weight2[ids].reshape(total, STEP).sum(axis=1))])
         text = np.repeat(np.arange(len(texts)), count)
         start, end, some = begin[text], (begin + count)[text], allowed.any(axis=0)
+        before = np.cumsum([len(a) for a in possible]) - [len(a) for a in possible]
+        segment = before[text] + (np.arange(total) - start) * STEP // length
+        found = [np.zeros((4, 0), np.int64)]
         for width, fits in zip(WIDTHS, self.of_width):
             own = np.flatnonzero(fits & some)
             if not len(own):
@@ -198,12 +238,14 @@ class Items:
             lo = np.flatnonzero((np.arange(total) + width // STEP <= end) | (np.arange(total) == start))
             hi = np.minimum(lo + width // STEP, end[lo])
             p = upto[hi] - upto[lo]
-            length = np.sqrt(np.maximum(weight[hi] - weight[lo], np.einsum("ij,ij->i", p, p)))
-            at, item = np.nonzero(p @ self.latent[own].T >= (COSINE * length)[:, None])
-            on = allowed[text[lo[at]], own[item]]
-            at, item = at[on], own[item[on]]
+            norm = np.sqrt(np.maximum(weight[hi] - weight[lo], np.einsum("ij,ij->i", p, p)))
+            at, item = np.nonzero((p @ self.latent[own].T >= (COSINE * norm)[:, None]) & allowed[np.ix_(segment[lo], own)])
             n = text[lo[at]]
-            yield from zip(n.tolist(), zip(item.tolist(), ((lo[at] - begin[n]) * STEP).tolist(), np.minimum((hi[at] - begin[n]) * STEP, sizes[n]).tolist()))
+            found.append(np.stack([n, own[item], (lo[at] - begin[n]) * STEP, np.minimum((hi[at] - begin[n]) * STEP, sizes[n])]))
+        rows = np.concatenate(found, axis=1)
+        rows = rows[:, np.lexsort(rows[1::-1])].T.tolist()
+        for n, own in groupby(rows, itemgetter(0)):
+            yield n, [(i, lo, hi) for _, i, lo, hi in own]
 
     def stretches(self, ids: np.ndarray):
         """(item, lo, hi): stretches of RUN words that an item has as well."""
@@ -258,8 +300,13 @@ class Items:
             place = np.arange(len(words)) % 64
             bit[words] = np.uint64(1) << place.astype(np.uint64)
             weight = np.bincount(place, np.fromiter(self.counts[i].values(), np.int64, len(words)))
-            ends = np.array([(max(0, lo - size), min(hi + size, len(ids))) for _, lo, hi in own]).reshape(-1)
-            there = np.bitwise_or.reduceat(np.append(bit[ids], np.uint64(0)), ends)[::2]
+            ends = np.array(own)[:, 1:]
+            ends[:, 0] = np.maximum(ends[:, 0] - size, 0)
+            ends[:, 1] = np.minimum(ends[:, 1] + size, len(ids))
+            first, last = int(ends[:, 0].min()), int(ends[:, 1].max())
+            near = np.zeros(last - first + 1, np.uint64)
+            near[:-1] = bit[ids[first:last]]
+            there = np.bitwise_or.reduceat(near, (ends - first).reshape(-1))[::2]
             bit[words] = 0
             most = (there[:, None] >> np.arange(len(weight), dtype=np.uint64) & np.uint64(1)).astype(np.float64) @ weight
             yield from compress(own, (most >= self.needed[i]).tolist())
@@ -267,18 +314,15 @@ class Items:
     def matches(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, bool, int]]]:
         """For each text: item number -> (cosine, share of its words in order, answer there, longest stretch)."""
         texts = [t.astype(np.int64) for t in texts]
-        items = [self.possible(t) for t in texts]
         found: list[list] = [[(*x, True) for x in self.thinned(self.stretches(t))] for t in texts]
+        length, possible = self.possible(texts) if texts else (SEGMENT, [])
         held: list[int] = []
         for n, t in enumerate(texts):
-            if len(items[n]):
+            if possible[n].any():
                 held.append(n)
             if held and (n + 1 == len(texts) or sum(len(texts[m]) for m in held) >= GROUP):
-                near: dict[int, list] = {}
-                for m, x in self.near([texts[m] for m in held], [items[m] for m in held]):
-                    near.setdefault(held[m], []).append(x)
-                for m, own in near.items():
-                    found[m] += [(*x, False) for x in self.supported(texts[m], self.thinned(own))]
+                for m, own in self.near([texts[m] for m in held], length, [possible[m] for m in held]):
+                    found[held[m]] += [(*x, False) for x in self.thinned(self.supported(texts[held[m]], own))]
                 held = []
         return [self._best(t, own) if own else {} for t, own in zip(texts, found)]
 

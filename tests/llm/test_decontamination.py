@@ -158,6 +158,46 @@ def test_supported_passages_are_those_with_enough_words():
         assert set(want) <= set(got) and [x for x in got if len(it.counts[x[0]]) <= 64] == [x for x in want if len(it.counts[x[0]]) <= 64]
 
 
+def test_scattered_words_are_no_candidates(monkeypatch):
+    """All words of an item in a long text, four of them at a place: no passage needs a look. Where another item stands
+    in the same text, at segments' borders too, it is found."""
+    rng = random.Random(22)
+    it = dc.Items([(1, " ".join(words(rng, 30))), (2, " ".join(words(rng, 40)))])
+    it.weigh(np.ones(len(it.vocab)), 10)
+    it.use_basis(np.eye(it.width, dtype=np.float32))
+    looked, supported = [], dc.Items.supported
+    monkeypatch.setattr(dc.Items, "supported", lambda self, ids, found: supported(self, ids, looked.extend(found) or found))
+    scattered = np.concatenate([[*it.words[0][n : n + 4] * 10, *[len(it.vocab)] * 300] for n in range(0, 30, 4)])
+    assert it.matches([scattered]) == [{}] and not looked
+    for at in [0, 1, 60, 100, 120, 127, 128, 250, 1000, 2600, len(scattered)]:
+        text = np.insert(scattered, at, it.words[1])
+        found = it.matches([scattered[:50], text])
+        assert found[0] == {} and list(found[1]) == [1] and found[1][1][1:] == (1.0, True, 40)
+
+
+def test_possible_segments_hold_every_passage_with_enough_words():
+    rng = random.Random(23)
+    vocab = words(rng, 150)
+    it = dc.Items([(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([1, 5, 20, 30, 40, 59])])
+    texts = [it.numbers(" ".join(rng.choices([*vocab, *["other"] * 300], k=n))) for n in (0, 1, 7, 128, 129, 900, 12_000)]
+    length, possible = it.possible(texts)
+    assert [len(p) for p in possible] == [-(-len(t) // length) for t in texts] and not possible[-1].all()
+    for t, p in zip(texts, possible):
+        for i, (size, width) in enumerate((int(s), w) for s in it.sizes for w in dc.WIDTHS[-1:]):
+            for lo in range(0, len(t), dc.STEP):
+                around = set(t[max(0, lo - size) : lo + width + size].tolist())
+                if sum(it.counts[i][x] for x in around) >= it.needed[i]:
+                    assert p[lo // length, i]
+
+
+def test_numbers_are_those_of_the_words():
+    every = "".join(map(chr, range(256)))
+    texts = [None, "", " ", every, *(f"a{c}B" for c in every), "ÀÉ Straße µm ½ ª_x 3²", "İstanbul ΣΑΣ œuvre naïve", "漢字 a b", "a\u2019b C", "x\ud800y"]
+    it = dc.Items([(n, t) for n, t in enumerate(texts) if t and dc.words_of(t)][::2])
+    for t in texts:
+        assert it.numbers(t).tolist() == [it.vocab.get(w, len(it.vocab)) for w in dc.words_of(t)]
+
+
 def test_search_against_all_passages_and_items(spark):
     """Every item against the surroundings of every window: what the rules confirm is found, at least 0.95 of it,
     of paraphrases of every degree; nothing else is reported."""
