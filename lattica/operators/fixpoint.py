@@ -186,6 +186,12 @@ class Clique:
                 s.schema.add("round__", T.IntegerType(), True)
             s.log = [self.store.put(self.spark.createDataFrame([], s.schema))]
 
+    def schema(self, name: str) -> T.StructType:
+        """The columns of a predicate with the types that hold what its rules give."""
+        if self.states[name].schema is None:
+            self._infer()
+        return self.states[name].schema
+
     def _struct(self, name: str, types: list) -> T.StructType:
         return T.StructType([T.StructField(c, t, True) for c, t in zip(self.states[name].predicate.columns, types)])
 

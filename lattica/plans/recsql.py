@@ -6,6 +6,10 @@ A script is a sequence of statements: `create table t(c type, ...)` declares a b
 fixpoint. In the column list min, max, count or sum marks the aggregate; the other columns are the
 key. `-- hint: broadcast | shuffle | sortMerge` sets the join strategy; {name} takes a parameter.
 All else goes to Spark SQL as it stands.
+
+A set view that starts from one row and whose only recursive arm moves two parts of its columns on
+independently (`factors`) is the union over rounds of products: each part's rows of a round are kept,
+and their products are only made when the view is read (`_by_levels`).
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.operators.fixpoint import MAX_ITERATIONS, Clique, Predicate, Rule
 from lattica.store import Store
@@ -26,6 +32,8 @@ TYPES = {"integer": "int", "int": "int", "long": "bigint", "bigint": "bigint", "
 HINTS = {"broadcast": "broadcast", "shuffle": "shuffle_hash", "sortmerge": "merge"}
 CLAUSES = {"where", "group", "having", "order", "limit", "union", "join", "inner", "left", "right", "full", "cross", "on", "natural", "lateral", "window", "intersect", "except"}
 BEFORE_NAME = {"select", "distinct", "where", "and", "or", "on", "by", "not", "having", "then", "else", "when", "case", "between", "as"}
+#: A round's rows of a part beyond BLOCK_ROWS are dealt into BLOCKS for the product with the other part's.
+BLOCKS, BLOCK_ROWS = 16, 4096
 RESERVED = {"from", "to", "order", "group", "where", "select", "union", "join", "on"}
 
 
@@ -233,6 +241,53 @@ def join_columns(arm: str, recursive: set[str]) -> dict[str, str]:
     return out
 
 
+def factors(arm: str, view: View) -> list[tuple[list[int], str]] | None:
+    """Two independent parts of a recursive arm: for each the places of the view's columns that it moves on, and the arm
+    over these alone. The arm must be SELECT columns FROM tables WHERE equalities of columns (all qualified), with
+    no equality between the parts; None for any other."""
+    m = re.fullmatch(r"(?is)\s*select\s+(.*?)\s+from\s+(.*?)\s+where\s+(.*?)\s*", arm)
+    if not m:
+        return None
+    items, tables, conditions = m[1].split(","), m[2].split(","), re.split(r"(?i)\band\b", m[3])
+    aliases: dict[str, str] = {}
+    for x in tables:
+        found = re.fullmatch(r"(?is)\s*(`\w+`|\w+)(?:\s+(?:as\s+)?(`\w+`|\w+))?\s*", x)
+        if not found or (alias := (found[2] or found[1]).strip("`").lower()) in aliases:
+            return None
+        aliases[alias] = found[1].strip("`").lower()
+    recursive = [a for a, t in aliases.items() if t == view.name.lower()]
+    places = {c.lower(): i for i, c in enumerate(view.columns)}
+    group: dict = {n: n for n in [*(a for a in aliases if a not in recursive), *range(len(view.columns))]}
+
+    def top(n):
+        while group[n] != n:
+            n = group[n]
+        return n
+
+    def node(text: str):
+        a, _, c = (x.strip("` ").lower() for x in text.strip().partition("."))
+        return places.get(c) if [a] == recursive else a
+
+    column = r"\s*(?:`\w+`|\w+)\.(?:`\w+`|\w+)\s*"
+    pairs = [c.split("=") for c in conditions]
+    if len(recursive) != 1 or len(items) != len(view.columns) or any(len(p) != 2 for p in pairs):
+        return None
+    if not all(re.fullmatch(column, x) and node(x) in group for x in [*items, *(x for p in pairs for x in p)]):
+        return None
+    for a, b in [*((node(x), i) for i, x in enumerate(items)), *((node(a), node(b)) for a, b in pairs)]:
+        group[top(a)] = top(b)
+    first = {n for n in group if top(n) == top(0)}
+    out = []
+    for mine in (first, set(group) - first):
+        columns = sorted(n for n in mine if isinstance(n, int))
+        own = [t for a, t in zip(aliases, tables) if a in mine]
+        tests = [c for c, (a, _) in zip(conditions, pairs) if node(a) in mine]
+        if not columns or not own or not tests:
+            return None
+        out.append((columns, f"SELECT {', '.join(items[i] for i in columns)} FROM {', '.join([*own, tables[list(aliases).index(recursive[0])]])} WHERE {' AND '.join(tests)}"))
+    return out
+
+
 class RecursiveSql:
     """A session for scripts over registered relations."""
 
@@ -346,10 +401,52 @@ class RecursiveSql:
                 reads = [by_name[t.lower()].name for t in tables if t.lower() in own]
                 rules.append(Rule(v.name, reads, self._body(v, quote_names(arm, self.columns), own, by_name)))
         clique = Clique(self.spark, predicates, rules, self.limit)
+        if len(views) == 1 and views[0].aggregate is None and [len(r.reads) for r in rules] == [0, 1] and not re.search(r"(?i)\bfrom\b", quoted[0]):
+            parts = factors(quoted[1], views[0])
+            df = self._by_levels(views[0], quoted[0], parts, clique.schema(views[0].name), own, by_name) if parts else None
+            if df is not None:
+                df.createOrReplaceTempView(views[0].name)
+                return
         for name, df in clique.solve().items():
             df.createOrReplaceTempView(name)
         self.iterations = clique.iterations
 
+    def _by_levels(self, view: View, start: str, parts: list[tuple[list[int], str]], schema: T.StructType, own: set[str], by_name: dict[str, View]) -> DataFrame | None:
+        """A view of two independent parts: a round's rows are the product of its rows of either part. The rounds
+        of one part must have no row in common, so that no pair comes twice; else None."""
+        store, logs, sizes = Store(self.spark, "levels"), [[], []], []
+        names = [[view.columns[i] for i in columns] for columns, _ in parts]
+        kinds = [T.StructType([*(schema.fields[i] for i in columns), T.StructField("level__", T.IntegerType(), True)]) for columns, _ in parts]
+        steps = [self._body(view, arm, own, by_name) for _, arm in parts]
+
+        def apart() -> bool:
+            return any(store.get(kind, *log).select(*columns).distinct().count() == store.count(*log) for kind, log, columns in zip(kinds, logs, names))
+
+        level, rows = 0, self._arm(start).toDF(*view.columns)
+        frames = [rows.select(*columns) for columns in names]
+        while True:
+            paths = [store.put(df.toDF(*kind.names[:-1]).withColumn("level__", F.lit(level)).select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in kind))) for df, kind in zip(frames, kinds)]
+            if not all(store.count(p) for p in paths):
+                break
+            for log, path in zip(logs, paths):
+                log.append(path)
+            sizes.append((level, *(BLOCKS if store.count(p) > BLOCK_ROWS else 1 for p in paths)))
+            level += 1
+            if level > self.limit or level & (level - 1) == 0 and not apart():
+                return None
+            frames = [step([store.get(kind, p).select(*columns)]).distinct() for step, kind, p, columns in zip(steps, kinds, paths, names)]
+        if not apart():
+            return None
+        self.iterations = level
+        dealt = F.broadcast(self.spark.createDataFrame(sizes, "level__ int, one__ int, other__ int"))
+        mine, others = F.pmod(F.xxhash64(*names[0]), "one__"), F.pmod(F.xxhash64(*names[1]), "other__")
+        copies = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("other__", "one__")]
+        one, other = (store.get(kind, *log).join(dealt, "level__").select("*", c.alias("copy__")) for kind, log, c in zip(kinds, logs, copies))
+        place = F.col("level__").cast("long") * (BLOCKS * BLOCKS)
+        one = one.select(*names[0], (place + mine * BLOCKS + F.col("copy__")).alias("block__"))
+        other = other.select(*names[1], (place + F.col("copy__") * BLOCKS + others).alias("block__"))
+        return one.join(other.hint("shuffle_hash"), "block__").select(*view.columns)
+
     def _body(self, view: View, arm: str, own: set[str], by_name: dict[str, View]):
         summed = view.aggregate in ("count", "sum")
         recursive = any(t.lower() in own for _, t, _ in from_items(lexed(arm)))
@@ -375,8 +472,6 @@ class RecursiveSql:
 
             df = self._arm(with_tables(arm, name_of))
             if summed and not recursive:  # different exit rows are different occurrences: their plain sum
-                from pyspark.sql import functions as F
-
                 df = df.toDF(*view.columns)
                 keys = [c for i, c in enumerate(view.columns) if i != view.place]
                 value = view.columns[view.place]
