@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,9 @@ from lattica.operators.components import least_in_component
 from lattica.operators.fixpoint import MAX_ITERATIONS, NoFixpoint, best_fixpoint, set_fixpoint, sum_fixpoint
 from lattica.store import Store
 
+#: Triangles: groups of nodes, at least; edges that a cell of two groups looks up; edges in a task that makes lists.
+GROUPS, CELL_EDGES, LIST_ROWS = 8, 1_000_000, 500_000
+
 
 def _edges(edges: DataFrame, weighted: bool = False, key: str = "src") -> DataFrame:
     """The different edges under fixed names, written once by the end on which rounds join them."""
@@ -154,7 +158,9 @@ def triangles(edges: DataFrame) -> DataFrame:
     """(node, triangles) for every node; edges without direction, loops and repeats left out.
 
     Edges go from the node of lower degree to the other, so that no node of very many edges
-    has more than the square root of all edges going out, and wedges stay few."""
+    has more than the square root of all edges going out, and wedges stay few. Wedges are never moved: nodes fall into
+    groups by hash, and a node's neighbours are sent, as lists of two groups, to the cell of these groups, where the edges
+    between the groups are. A neighbour is sent once for each group, and a cell has CELL_EDGES edges to look up."""
     e = _edges(edges)
     plain = e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     ends = plain.select(F.col("a").alias("v")).unionAll(plain.select("b"))
@@ -162,10 +168,21 @@ def triangles(edges: DataFrame) -> DataFrame:
     d1, d2 = degree.toDF("a", "da"), degree.toDF("b", "db")
     ranked = plain.join(d1, "a").join(d2, "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    out = Store(e.sparkSession, "triangles").written(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t")))
-    x, y, z = out.toDF("s", "m"), out.toDF("s", "n"), out.toDF("p", "q")
-    wedges = x.join(y, "s").where("m < n").select("s", "m", "n")
-    closed = wedges.join(z.select(F.least("p", "q").alias("m"), F.greatest("p", "q").alias("n")), ["m", "n"])
+    store = Store(e.sparkSession, "triangles")
+    out = store.written(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t")))
+    rows = store.count(store.passing[-1])
+    ends = out.select(F.col("t").alias("s")).distinct()  # an edge that closes a wedge starts at the end of another
+    closing = store.written(out.join(ends, "s", "left_semi").select(F.least("s", "t").alias("m"), F.greatest("s", "t").alias("n")))
+    groups = max(GROUPS, math.isqrt(2 * store.count(store.passing[-1]) // CELL_EDGES) + 1)
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    dealt = out.repartition(max(e.sparkSession.sparkContext.defaultParallelism, -(-rows // LIST_ROWS)), "s").groupBy("s", group("t").alias("g")).agg(F.collect_list("t").alias("of"))
+    lists = dealt.groupBy("s").agg(F.collect_list(F.struct("g", "of")).alias("by"))
+    pairs = lists.select("s", "by", F.explode("by").alias("x")).select("s", "x", F.explode("by").alias("y")).where("x.g < y.g or x.g = y.g and size(x.of) > 1")
+    legs = pairs.select("s", (F.col("x.g") * groups + F.col("y.g")).alias("cell"), F.col("x.of").alias("one"), F.when(F.col("x.g") < F.col("y.g"), F.col("y.of")).alias("other")).repartitionById(groups * groups, F.col("cell"))
+    wedges = legs.select("s", "cell", "one", "other", F.explode("one").alias("u")).select("s", "cell", "u", "other", F.explode(F.coalesce("other", "one")).alias("v")).where("other is not null or u < v")
+    wedges = wedges.select("s", "cell", F.least("u", "v").alias("m"), F.greatest("u", "v").alias("n"))
+    looked = closing.select((F.least(group("m"), group("n")) * groups + F.greatest(group("m"), group("n"))).alias("cell"), "m", "n").repartitionById(groups * groups, F.col("cell"))
+    closed = wedges.join(looked.hint("shuffle_hash"), ["cell", "m", "n"])
     counted = closed.select(F.explode(F.array("s", "m", "n")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return nodes.join(counted, "node", "left").select("node", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))

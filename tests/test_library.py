@@ -107,6 +107,28 @@ def test_triangles_and_ranks(spark, edges):
     assert graph.pagerank(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_wedges_are_made_where_they_are_looked_up(spark, monkeypatch):
+    """Lists of neighbours are exchanged, not wedges; many cells give the same counts as one."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(40)) for _ in range(300)]
+    plain = {frozenset(e) for e in rows if e[0] != e[1]}
+    count = {n: 0 for e in rows for n in e}
+    for t in itertools.combinations(sorted(count), 3):
+        if all(frozenset(p) in plain for p in itertools.combinations(t, 2)):
+            for n in t:
+                count[n] += 1
+    df = spark.createDataFrame(rows, "a long, b long")
+    for groups, edges in ((1, 1 << 30), (3, 1 << 30), (1, 30)):
+        monkeypatch.setattr(graph, "GROUPS", groups)
+        monkeypatch.setattr(graph, "CELL_EDGES", edges)
+        found = graph.triangles(df)
+        assert table(found) == sorted(count.items(), key=str)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "ShuffledHashJoin [cell" in x)
+    side = lines[at + 1 : at + 1 + next(i for i, x in enumerate(lines[at + 1 :]) if "Exchange" in x)]
+    assert sum("Generate explode" in x for x in side) == 2
+
+
 def test_intervals(spark):
     rng = random.Random(4)
     rows = [(s, s + rng.randrange(6)) for s in (rng.randrange(200) for _ in range(60))]
