@@ -198,10 +198,12 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sort-merge join on a key that nine tenths of one side share; adaptive execution splits such partitions."""
+    """A sort-merge join on a key that nine tenths of one side share: that side is summed by the key before it moves,
+    so a key has one row however many share it."""
     li = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 10 == 0, F.col("l_suppkey")).otherwise(1).alias("k"), "l_quantity")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return s.hint("merge").join(li, s.s_suppkey == li.k).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    li = li.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+    return s.hint("merge").join(li, s.s_suppkey == li.k).groupBy("s_nationkey").agg(F.sum("rows").alias("n"), F.sum("quantity").alias("quantity"))
 
 
 FRAMES = {

@@ -185,3 +185,22 @@ def test_dialect_functions(spark):
     text = spark.createDataFrame([("the cat sat. the cat ran.",)], "t string")
     assert [(list(r.ngram), r.estfrequency) for r in compat.word_ngrams(text, "t", 2, 1).collect()] == [(["the", "cat"], 2.0)]
     assert {tuple(r.ngram) for r in compat.context_ngrams(text, "t", ["cat", None], 5).collect()} == {("sat",), ("ran",)}
+
+
+def test_a_shared_key_is_summed_before_the_join(spark, tmp_path):
+    """Rows of a key that most of a table shares aren't moved or sorted one by one."""
+    from lattica.queries import relational
+
+    spark.createDataFrame([(k, k % 3) for k in range(40)] + [(1, 2)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    items = [(i, i % 50, float(i % 7) if i % 11 else None) for i in range(2000)]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = relational.QUERIES["join_skewed"](spark, str(tmp_path))
+    want = {}
+    for order, supplier, quantity in items:
+        k = supplier if order % 10 == 0 else 1
+        for nation in [k % 3] * (k < 40) + [2] * (k == 1):
+            n, q = want.get(nation, (0, 0.0))
+            want[nation] = (n + 1, q + (quantity or 0.0))
+    assert {r.s_nationkey: (r.n, r.quantity) for r in found.collect()} == want
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" in plan and "HashAggregate(keys=[k#" in plan
