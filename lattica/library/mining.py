@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lattica.store import Store
 
+#: Itemsets: rows of baskets in a task; sets and items of at most so many rows, by count, are broadcast.
+BASKET_ROWS, FEW_ROWS = 500_000, 50_000
+
 
 def kmeans(points: DataFrame, centers: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """Lloyd's rounds over points(id, vector) from centers(center, vector): (centers, assignment).
@@ -36,30 +39,50 @@ def frequent_itemsets(baskets: DataFrame, support: int, most: int | None = None)
     """(items, size, support) of every set of items that `support` baskets hold; baskets(basket, item).
 
     Level by level: candidates join two frequent sets that differ in their last item and are kept only
-    if all their subsets are frequent; baskets are reduced to frequent items first. Sets of a basket are counted as
-    they are made and only frequent ones are written, so a long basket costs time, not room."""
+    if all their subsets are frequent; baskets are reduced to frequent items first. A basket's rows are brought together in
+    tasks of about BASKET_ROWS; from then on a set that a basket holds carries the basket's later items, so that longer
+    sets are made without another exchange. Sets of a basket are counted as they are made, each level anew
+    through the frequent sets below it, and only baskets and frequent sets are written, so a long basket costs time, not room."""
     store = Store(baskets.sparkSession, "itemsets")
-    b = baskets.toDF("basket", "item").distinct()
-    single = b.groupBy("item").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
-    b = store.written(b.join(single.select("item"), "item").select("basket", "item"))
-    level = store.written(single.select(F.array("item").alias("items"), "support"))
+
+    def kept(df: DataFrame) -> tuple[DataFrame, int]:
+        df = store.written(df)
+        return df, store.count(store.passing[-1])
+
+    def among(df: DataFrame, known: DataFrame, rows: int, on: str) -> DataFrame:
+        return df.join(F.broadcast(known) if rows <= FEW_ROWS else known.hint("shuffle_hash"), on, "left_semi")
+
+    def together(df: DataFrame, rows: int) -> DataFrame:
+        return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // BASKET_ROWS)), "basket")
+
+    b = baskets.toDF("basket", "item")
+    b, rows = kept(together(b, b.count()).distinct())
+    level, found = kept(b.groupBy("item").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support).select(F.array("item").alias("items"), "support"))
+    frequent = among(b.where("basket is not null"), level.select(F.col("items")[0].alias("item")), found, "item")
+    whole = store.written(together(frequent, rows).groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("rest")))
+    holders = whole.select(F.array().cast(level.schema["items"].dataType).alias("items"), "rest")
     out, size = level, 1
-    holders = b.select("basket", F.array("item").alias("items"))
-    while not level.isEmpty() and (most is None or size < most):
+
+    def longer(df: DataFrame) -> DataFrame:
+        more = df.select("items", "rest", F.posexplode("rest").alias("at", "more"))
+        return more.select(F.concat("items", F.array("more")).alias("items"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+
+    holders = longer(holders).where(F.size("rest") > 0)
+    while found and (most is None or size < most):
         x = level.select("items").toDF("x")
         y = level.select("items").toDF("y")
         head = lambda c: F.slice(c, 1, size - 1)
-        pairs = x.join(y, (head("x") == head("y")) & (F.element_at("x", -1) < F.element_at("y", -1))) if size > 1 else x.join(y, F.element_at("x", -1) < F.element_at("y", -1))
-        candidates = pairs.select(F.concat("x", F.slice("y", size, 1)).alias("items"))
-        for drop in range(size - 1):
-            rest = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, size - drop)) if drop else F.slice("items", 2, size)
-            candidates = candidates.join(level.select(F.col("items").alias("known")), rest == F.col("known"), "left_semi")
-        held = holders.join(b.toDF("basket", "more"), "basket").where(F.col("more") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("more")).alias("items"))
+        made = held = longer(holders)
         if size > 1:
-            held = held.join(candidates, "items", "left_semi")
+            pairs = x.join(y, (head("x") == head("y")) & (F.element_at("x", -1) < F.element_at("y", -1)))
+            candidates = pairs.select(F.concat("x", F.slice("y", size, 1)).alias("items"))
+            for drop in range(size - 1):
+                rest = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, size - drop)) if drop else F.slice("items", 2, size)
+                candidates = candidates.join(level.select(F.col("items").alias("known")), rest == F.col("known"), "left_semi")
+            held = among(held, *kept(candidates), "items")
         size += 1
-        level = store.written(held.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support))
-        holders = store.written(held.join(level.select("items"), "items", "left_semi").select("basket", "items"))
+        level, found = kept(held.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support))
+        holders = among(made.where(F.size("rest") > 0), level.select("items"), found, "items")
         out = out.unionByName(level)
     return out.select("items", F.size("items").alias("size"), "support")
 

@@ -157,6 +157,37 @@ def test_itemsets_and_rules(spark):
         assert r.confidence == pytest.approx(want[tuple(sorted([*r.body, r.head]))] / want[tuple(r.body)])
 
 
+def test_itemsets_keep_tasks_small(spark, monkeypatch):
+    """Baskets are brought together in tasks of so many rows; sets beyond the broadcast and nulls give the same."""
+    from lattica.store import Store
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), rng.choice("abcdefg")) for _ in range(400)] + [(i, None) for i in range(20)] + [(None, "a"), (None, "b")] + [(100 + i, "abc"[i % 3]) for i in range(9)]
+    baskets = {}
+    for k, x in rows:
+        baskets.setdefault(k, set()).add(x)
+    want = {(None,): sum(None in b for b in baskets.values())}
+    for n in range(1, 8):
+        for items in itertools.combinations("abcdefg", n):
+            s = sum(set(items) <= b for k, b in baskets.items() if n == 1 or k is not None)
+            if s >= 12:
+                want[items] = s
+    parts, put = [], Store.put
+
+    def counted(self, df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        parts.append("Join" in plan and "basket" in plan.split("Join")[1].splitlines()[0])
+        return put(self, df)
+
+    monkeypatch.setattr(Store, "put", counted)
+    monkeypatch.setattr(mining, "BASKET_ROWS", 50)
+    for few in (50_000, 0):
+        monkeypatch.setattr(mining, "FEW_ROWS", few)
+        found = mining.frequent_itemsets(spark.createDataFrame(rows, "basket long, item string"), 12).collect()
+        assert {tuple(r["items"]): r.support for r in found} == want and len(found) == len(want)
+    assert parts and not any(parts)
+
+
 def test_kmeans_and_tree(spark):
     points = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 100, 1.0]) for i in range(20)], "id long, v array<double>")
     start = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 1.0])], "c long, v array<double>")
